@@ -20,7 +20,7 @@ Q = 0xD6E8FEB86659FD93
 _BYTES = np.zeros(256, bool)
 _BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]] = True
 #: Unicode spaces, punctuation and symbols that would otherwise count as parts of words.
-_OTHER = re.compile("[\u0080-©«-±´¶-¸»¿×÷  -⁯₠-⃏←-⯿　-〄〈-〠〰︰-﹏＀-／：-＠［-｀｛-･￰-￿]")
+_OTHER = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\ufff0-\uffff]")
 
 _pow: dict[int, np.ndarray] = {}
 
