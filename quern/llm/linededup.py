@@ -3,7 +3,7 @@
 Lines. A line of text is long here, and copied passages start and end inside
 of lines, so a line is divided further at places that only depend on the
 words nearby: after a word that a sentence ends with and after one word in
-sixteen by hash, if none of the three words before is such a place. Words are
+ten by hash, if none of the three words before is such a place. Words are
 lower-cased; punctuation doesn't count. What results, of four words or more
 but at a text's ends, is called a line below. Lines this long are rare: apart
 from copies, few recur.
@@ -18,7 +18,8 @@ in the later document form the longest increasing subsequence of positions;
 these anchors are extended over adjacent lines. Runs of consecutive lines
 make blocks; a gap inside of a block counts as part of it if both sides skip
 equally many lines and each of these has an earlier holder, too. Blocks of
-MIN_BLOCK_WORDS words or more are deleted. What remains is aligned again,
+MIN_BLOCK_WORDS words or more are deleted; with the parts of lines at both
+ends that stay, this holds for any common passage of 50 words. What remains is aligned again,
 until no such block is left, so moved and repeated blocks go as well.
 
 A line only goes from documents after its first holder, so every line stays
@@ -39,8 +40,8 @@ from pyspark.sql import functions as F
 from .common import chunks, pick, settle, table
 from .kernel import Q, U64, Words, mix, powers, words
 
-MIN_BLOCK_WORDS = 40
-WRAP = 16
+MIN_BLOCK_WORDS = 20
+WRAP = 10
 _CHUNK = 4 << 20
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
