@@ -27,9 +27,8 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -50,67 +49,92 @@ def norm(text: str | None) -> str:
     return " ".join(_WORD.findall(text.lower())) if text else ""
 
 
-@lru_cache(1 << 20)
-def _grams(word: str) -> tuple[bytes, ...]:
-    b = f" {word} ".encode("utf-8", "replace")
-    return tuple({b[i : i + n] for n in (GRAM, *LONGER) for i in range(len(b) - n + 1)})
-
-
-def thin(texts: list[str]) -> list[set[str]]:
-    """Word sets of texts without near copies, so that no copied passage looks like a mark of its class."""
-    seen: dict[str, list[set[str]]] = defaultdict(list)
-    kept = []
-    for t in texts:
-        w = set(_WORD.findall(t.lower()))
-        if not w:
-            continue
-        keys = sorted(hashlib.blake2b(x.encode("utf-8", "replace"), digest_size=8).hexdigest() for x in w)[:4]
-        if any(len(w & o) > 0.5 * min(len(w), len(o)) for k in keys for o in seen[k]):
-            continue
-        for k in keys:
-            seen[k].append(w)
-        kept.append(w)
-    return kept
-
-
-def frequencies(docs: list[set[str]]) -> Counter[bytes]:
-    """Documents by gram."""
-    c: Counter[bytes] = Counter()
-    for w in docs:
-        c.update(set(chain.from_iterable(map(_grams, w))))
-    return c
-
-
-def segments(own: list[set[str]], other: list[set[str]], ratio: float, least: int) -> tuple[bytes, bytes]:
-    """What marks own against other, rarest first: runs of marking grams.
-
-    And of the grams of zstandard's minimum match length in these runs those
-    that other has as well: in the other dictionary, they make up for matches
-    that mark nothing. Grams longer than that need more documents to count.
-    """
-    a, b = frequencies(own), frequencies(other)
-    scale = len(own) / max(1, len(other))
-    more = max(2 * least, len(own) // 50)
-    marks = {g for g, n in a.items() if n >= (least if len(g) == GRAM else more) and n > ratio * (b[g] + 0.1) * scale}
-    found: Counter[bytes] = Counter()
-    for w in own:
-        here = set()
-        for x in w:
-            hits = [g for g in _grams(x) if g in marks]
-            if not hits:
+class Grams:
+    """Labelled texts as sets of words, and their byte grams, all as numbers."""
+
+    def __init__(self, texts: list[str], toxic: list[bool]) -> None:
+        ids: dict[str, int] = {}
+        self.docs = [np.unique([ids.setdefault(w, len(ids)) for w in _WORD.findall(t.lower())]).astype(np.int64) for t in texts]
+        self.toxic = toxic
+        self.words = [f" {w} ".encode("utf-8", "replace") for w in ids]
+        self.hash = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest()) for w in self.words], np.uint64)
+        self.kept = self.thin()
+        # grams of GRAM bytes of each word, in order; then longer ones that begin and end with grams of several toxic texts
+        self.ids: dict[bytes, int] = {}
+        flat = [[self.ids.setdefault(w[k : k + GRAM], len(self.ids)) for k in range(len(w) - GRAM + 1)] for w in self.words]
+        self._index(flat)
+        often = self.frequency([d for d in self.kept if toxic[d]])
+        often = set(np.flatnonzero(often >= max(4, sum(toxic[d] for d in self.kept) // 100)).tolist())
+        for w, g in zip(self.words, flat):
+            base = list(g)
+            for n in LONGER:
+                for k in range(len(w) - n + 1):
+                    if base[k] in often and base[k + n - GRAM] in often:
+                        g.append(self.ids.setdefault(w[k : k + n], len(self.ids)))
+        self._index(flat)
+        self.names = list(self.ids)
+        self.size = np.array([len(g) for g in self.names])
+
+    def _index(self, flat: list[list[int]]) -> None:
+        self.start = np.concatenate(([0], np.cumsum([len(g) for g in flat]))).astype(np.int64)
+        self.flat = np.fromiter((x for g in flat for x in g), np.int64, int(self.start[-1]))
+
+    def of(self, words: np.ndarray) -> np.ndarray:
+        return np.unique(np.concatenate([self.flat[self.start[w] : self.start[w + 1]] for w in words.tolist()])) if len(words) else np.zeros(0, np.int64)
+
+    def frequency(self, docs: list[int]) -> np.ndarray:
+        """Texts by gram."""
+        c = np.zeros(len(self.ids), np.int64)
+        for d in docs:
+            c[self.of(self.docs[d])] += 1
+        return c
+
+    def thin(self) -> list[int]:
+        """Texts without near copies, so that no copied passage looks like a mark of its class."""
+        seen: dict[tuple[bool, int], list[int]] = defaultdict(list)
+        kept = []
+        for d, w in enumerate(self.docs):
+            if not len(w):
                 continue
-            s = f" {x} ".encode("utf-8", "replace")
-            covered = bytearray(len(s))
-            for g in hits:
-                i = s.find(g)
-                while i >= 0:
-                    covered[i : i + len(g)] = b"\1" * len(g)
-                    i = s.find(g, i + 1)
-            here.update(s[m.start() : m.end()] for m in re.finditer(b"\1+", covered))
-        found.update(here)
-    runs = [s for s, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= 2]
-    shared = sorted({g for s in runs for g in (s[i : i + GRAM] for i in range(len(s) - GRAM + 1)) if g not in marks and b[g]}, key=lambda g: (b[g], g))
-    return b"\n".join(runs), b"\n".join(shared)
+            keys = [(self.toxic[d], int(h)) for h in np.sort(self.hash[w])[:4]]
+            if any(len(np.intersect1d(w, self.docs[o], True)) > 0.5 * min(len(w), len(self.docs[o])) for o in {o for k in keys for o in seen[k]}):
+                continue
+            for k in keys:
+                seen[k].append(d)
+            kept.append(d)
+        return kept
+
+    def segments(self, own: list[int], other: list[int], ratio: float, least: int, longer: bool) -> tuple[bytes, bytes]:
+        """What marks own against other, rarest first: runs of marking grams.
+
+        And of the grams of zstandard's minimum match length in these runs
+        those that other has as well: in the other dictionary, they make up for
+        matches that mark nothing. Longer grams need more documents to count.
+        """
+        a, b = self.frequency(own), self.frequency(other)
+        need = np.where(self.size == GRAM, least, max(2 * least, len(own) // 40) if longer else len(own) + 1)
+        marks = (a >= need) & (a > ratio * (b + 0.4) * len(own) / max(1, len(other)))
+        has = np.zeros(len(self.words), bool)
+        has[np.repeat(np.arange(len(self.words)), np.diff(self.start))[marks[self.flat]]] = True
+        runs_of: dict[int, set[bytes]] = {}
+        for k in np.flatnonzero(has).tolist():
+            w = self.words[k]
+            covered = bytearray(len(w))
+            for g in self.flat[self.start[k] : self.start[k + 1]]:
+                if marks[g]:
+                    name = self.names[g]
+                    at = w.find(name)
+                    while at >= 0:
+                        covered[at : at + len(name)] = b"\1" * len(name)
+                        at = w.find(name, at + 1)
+            runs_of[k] = {w[m.start() : m.end()] for m in re.finditer(b"\1+", covered)}
+        found: Counter[bytes] = Counter()
+        for d in own:
+            found.update({r for k in self.docs[d][has[self.docs[d]]].tolist() for r in runs_of[k]})
+        runs = [s for s, n in sorted(found.items(), key=lambda x: (x[1], x[0])) if n >= 2]
+        inner = {self.ids[s[i : i + GRAM]] for s in runs for i in range(len(s) - GRAM + 1)}
+        inner = sorted((g for g in inner if b[g] and not marks[g]), key=lambda g: (b[g], self.names[g]))
+        return b"\n".join(runs), b"\n".join(self.names[g] for g in inner)
 
 
 def coder(dictionary: bytes):
@@ -159,34 +183,39 @@ class Model:
         return score
 
 
-def fit(texts: list[str], toxic: list[bool], ratio: float = 25.0, least: int = 3, window: int = 64) -> Model:
-    """Trains on labelled texts; half of them, by order, calibrates what the other half trains."""
+def fit(texts: list[str], toxic: list[bool], ratio: float = 25.0, least: int = 3, window: int = 64, weight: float = 1.0) -> Model:
+    """Trains on labelled texts; half of them, by order, calibrates what the other half trains.
+
+    weight: how many ordinary documents one ordinary text stands for, against a toxic one.
+    """
+
+    if sum(toxic) < MIN_TOXIC:
+        return Model(b"", b"", float("inf"), window)
+    grams = Grams(texts, toxic)
 
-    def train(idx: list[int]) -> Model:
-        own, other = thin([texts[i] for i in idx if toxic[i]]), thin([texts[i] for i in idx if not toxic[i]])
+    def train(docs: list[int]) -> Model:
+        own, other = [d for d in docs if toxic[d]], [d for d in docs if not toxic[d]]
         if not own:
             return Model(b"", b"", float("inf"), window)
         low = least if len(own) >= 40 else 2
-        marks, shared = segments(own, other, ratio, low)
-        ordinary, also = segments(other, own, ratio, max(low, len(other) // 50))
+        marks, shared = grams.segments(own, other, ratio, low, True)
+        ordinary, also = grams.segments(other, own, ratio, max(low, len(other) // 50), False)
         return Model(also + b"\n" + marks + b"\n" + PRIMER, ordinary + b"\n" + shared + b"\n" + PRIMER, 0.0, window)
 
-    everything = list(range(len(texts)))
-    if sum(toxic) < MIN_TOXIC:
-        return Model(b"", b"", float("inf"), window)
     scored = []
     for fold in (0, 1):
-        s = train([i for i in everything if i % 2 != fold]).scorer()
-        scored += [(s(texts[i])[0], toxic[i]) for i in everything if i % 2 == fold]
+        s = train([i for i in grams.kept if i % 2 != fold]).scorer()
+        scored += [(s(texts[i])[0], toxic[i]) for i in range(len(texts)) if i % 2 == fold]
     # the best F1 over held-out scores; of equal ones the middle of the widest gap
     scored.sort(reverse=True)
-    positives, tp, best = sum(t for _, t in scored), 0, (-1.0, 1.0)
+    positives, tp, fp, best = sum(t for _, t in scored), 0, 0.0, (-1.0, 1.0)
     for k, (s, t) in enumerate(scored):
         tp += t
+        fp += weight * (not t)
         below = scored[k + 1][0] if k + 1 < len(scored) else 0.0
         if s > below:
-            best = max(best, (2 * tp / (k + 1 + positives), (s + max(below, s / 2)) / 2))
-    model = train(everything)
+            best = max(best, (2 * tp / (tp + fp + positives), (s + max(below, s / 2)) / 2))
+    model = train(grams.kept)
     model.threshold = best[1]
     model.held_out = {"f1": best[0], "toxic": positives, "labelled": len(texts)}
     return model
@@ -196,13 +225,15 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000) -> Mode
     """fit() on labelled documents: at most max_labelled of each class, those of the smallest hash of doc_id."""
     l = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id")
+    size = {r[0]: r[1] for r in l.groupBy("toxic").count().collect()}
+    weight = (size.get(0, 0) / max_labelled if size.get(0, 0) > max_labelled else 1.0) / max(1.0, size.get(1, 0) / max_labelled)
     some = None
     for k in (1, 0):
         one = l.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_labelled)
         some = one if some is None else some.unionByName(one)
     d = pick(docs, doc_id="doc_id", text="text").where("text is not null")
     rows = d.join(F.broadcast(some), "doc_id").orderBy(order, "doc_id", "text").select("text", "toxic").toArrow()
-    return fit(rows["text"].to_pylist(), [bool(x) for x in rows["toxic"].to_pylist()])
+    return fit(rows["text"].to_pylist(), [bool(x) for x in rows["toxic"].to_pylist()], weight=weight)
 
 
 def classify(docs: DataFrame, model: Model) -> DataFrame:
