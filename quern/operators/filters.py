@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -130,28 +130,48 @@ class GopherQuality(Filter):
         ]
 
 
-def top_gram_chars(words: Sequence[str], n: int) -> int:
-    """Length of the most frequent n-gram, words joined by spaces, times its count; of equally frequent ones the first."""
-    grams = Counter(" ".join(words[i : i + n]) for i in range(len(words) - n + 1))
-    if not grams:
-        return 0
-    gram, count = max(grams.items(), key=lambda x: x[1])  # dicts keep insertion order, so this is the first
-    return len(gram) * count
-
-
-def repeated_gram_chars(words: Sequence[str], n: int) -> int:
-    """Characters in n-grams seen before, scanning from the left and skipping over each repeat."""
-    seen: set[tuple[str, ...]] = set()
-    chars = i = 0
-    while i + n <= len(words):
-        g = tuple(words[i : i + n])
-        if g in seen:
-            chars += sum(map(len, g))
-            i += n
-        else:
-            seen.add(g)
-            i += 1
-    return chars
+def gram_chars(words: Sequence[str], tops: Sequence[int], dups: Sequence[int]) -> list[int]:
+    """For each n of tops, the length of the most frequent n-gram (words joined by spaces; of equally frequent ones the first) times its count.
+
+    Then for each n of dups, the characters in n-grams seen before, scanning
+    from the left and skipping over each repeat. N-grams are compared by
+    64-bit hashes of word numbers.
+    """
+    ids: dict[str, int] = {}
+    word = np.array([ids.setdefault(w, len(ids)) + 1 for w in words], np.uint64)
+    pre = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+    out = []
+    for n in (*tops, *dups):
+        m = len(words) - n + 1
+        if m < 1:
+            out.append(0)
+            continue
+        h = np.zeros(m, np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(n):
+                h = (h ^ word[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+        _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        if len(out) < len(tops):
+            best = int(first[count == count.max()].min())
+            out.append(int((pre[best + n] - pre[best] + n - 1) * count.max()))
+            continue
+        chars = i = 0
+        if len(first) < m:
+            # only a gram that occurs again can be seen before: go from one of these to the next
+            again = np.flatnonzero(count[inverse] > 1)
+            seen: set[int] = set()
+            for k in again.tolist():
+                if k < i:
+                    continue
+                g = int(inverse[k])
+                if g in seen:
+                    chars += int(pre[k + n] - pre[k])
+                    i = k + n
+                else:
+                    seen.add(g)
+        out.append(chars)
+    return out
 
 
 @dataclass(frozen=True, kw_only=True)
@@ -170,7 +190,7 @@ class GopherRepetition(Filter):
 
         @pandas_udf("array<long>")
         def grams(words: pd.Series) -> pd.Series:
-            return pd.Series([None if w is None else [top_gram_chars(w, n) for n in tops] + [repeated_gram_chars(w, n) for n in dups] for w in words])
+            return pd.Series([None if w is None else gram_chars(list(w), tops, dups) for w in words])
 
         return df.withColumn("__paras", F.split(T.strip(t), "\n{2,}", -1)).withColumn("__lines", F.split(t, "\n+", -1)).withColumn("__grams", grams(T.tokens(t)))
 

@@ -10,7 +10,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.functions import pandas_udf
 
 Entity = dict  # start, end, text, label, score and, once chosen, mask; offsets in characters
 
@@ -272,9 +271,3 @@ def remote(df: DataFrame, connect: Callable[[int], PiiClient], text: str = "text
             yield pa.RecordBatch.from_arrays([*cols, pa.array(failed, pa.list_(pa.int32()))], [*b.schema.names, "failed_chunks"])
 
     return df.mapInArrow(run, schema)
-
-
-@pandas_udf("string")
-def normalized_name(s: pd.Series) -> pd.Series:
-    """A name's parts in alphabetical order, for joining mentions."""
-    return s.map(lambda x: None if x is None else " ".join(sorted(name_parts(x))))

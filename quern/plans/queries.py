@@ -275,14 +275,14 @@ _PLAIN = [s for s in pii.SPECS.values() if not s.validator and not s.keywords an
 #: Text of several tables, so that more types match.
 _TEXTS = (
     "SELECT doc_id AS id, text FROM documents UNION ALL SELECT 100000000 + page_id, url || ' ' || html FROM pages UNION ALL SELECT 200000000 + c_custkey, "
-    "'card ' || (4000000000000 + c_custkey * 7919)::VARCHAR || ' exp 0' || (1 + c_custkey % 9)::VARCHAR || '/27 id ' || (100000000 + c_custkey * 37)::VARCHAR || ' ip 10.0.' || (c_custkey % 256)::VARCHAR || '.7 AB' || (100000 + c_custkey)::VARCHAR FROM customer"
+    "'card ' || (4000000000000 + c_custkey * 7919)::VARCHAR || ' exp 0' || (1 + c_custkey % 9)::VARCHAR || '/27 id ' || (100000000 + c_custkey * 37)::VARCHAR || ' ip 10.0.' || (c_custkey % 256)::VARCHAR || '.7 AB' || (100000 + c_custkey)::VARCHAR || ' mac 00:1b:44:11:3a:' || (10 + c_custkey % 90)::VARCHAR || ' tel +31 6' || (10000000 + c_custkey)::VARCHAR || ' plate AB-12-' || (10 + c_custkey % 90)::VARCHAR || ' doc NX4BC5D' || (10 + c_custkey % 90)::VARCHAR || ' be 1-ABC-' || (100 + c_custkey % 900)::VARCHAR || ' bel 04' || (10000000 + c_custkey)::VARCHAR || ' itin 9' || (10 + c_custkey % 90)::VARCHAR || '-70-' || (1000 + c_custkey % 9000)::VARCHAR || ' vat DE' || (100000000 + c_custkey)::VARCHAR FROM customer"
 )
 
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     c = docs(spark, sf, "customer")
     k = F.col("c_custkey")
-    made = F.concat(F.lit("card "), (4000000000000 + k * 7919).cast("string"), F.lit(" exp 0"), (1 + k % 9).cast("string"), F.lit("/27 id "), (100000000 + k * 37).cast("string"), F.lit(" ip 10.0."), (k % 256).cast("string"), F.lit(".7 AB"), (100000 + k).cast("string"))
+    made = F.concat(F.lit("card "), (4000000000000 + k * 7919).cast("string"), F.lit(" exp 0"), (1 + k % 9).cast("string"), F.lit("/27 id "), (100000000 + k * 37).cast("string"), F.lit(" ip 10.0."), (k % 256).cast("string"), F.lit(".7 AB"), (100000 + k).cast("string"), F.lit(" mac 00:1b:44:11:3a:"), (10 + k % 90).cast("string"), F.lit(" tel +31 6"), (10000000 + k).cast("string"), F.lit(" plate AB-12-"), (10 + k % 90).cast("string"), F.lit(" doc NX4BC5D"), (10 + k % 90).cast("string"), F.lit(" be 1-ABC-"), (100 + k % 900).cast("string"), F.lit(" bel 04"), (10000000 + k).cast("string"), F.lit(" itin 9"), (10 + k % 90).cast("string"), F.lit("-70-"), (1000 + k % 9000).cast("string"), F.lit(" vat DE"), (100000000 + k).cast("string"))
     d = docs(spark, sf).select(F.col("doc_id").alias("id"), "text")
     p = docs(spark, sf, "pages").select((100000000 + F.col("page_id")).alias("id"), F.concat_ws(" ", "url", "html").alias("text"))
     return d.unionByName(p).unionByName(c.select((200000000 + k).alias("id"), made.alias("text")))

@@ -30,7 +30,7 @@ def public_figures(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """(name): labels and aliases, each once, of files with the columns label and aliases (joined by semicolons)."""
     df = spark.read.option("sep", ";").option("header", True).option("quote", '"').csv(path if isinstance(path, str) else list(path))
     names = F.array_union(F.array("label"), F.split(F.coalesce("aliases", F.lit("")), ";"))
-    return df.select(F.trim(F.explode(names)).alias("name")).where("name <> ''").distinct()
+    return df.select(F.explode(names).alias("name")).select(F.trim("name").alias("name")).where("name <> ''").distinct()
 
 
 def bad_words(spark: SparkSession, path: str) -> dict[str, list[str]]:
