@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import LANGUAGES, tokens
@@ -68,6 +68,10 @@ def top_k(df: DataFrame, key: str, k: int) -> DataFrame:
 def detect_language(df: DataFrame, profiles: dict[str, list[str]], text: str = "text", lang: str = "lang") -> DataFrame:
     """lang filled where it is null: the language whose list of frequent words has most of the text's words; null if none has any."""
     toks = tokens(F.lower(F.col(text)))
-    scores = F.array(*(F.struct(F.size(F.filter(toks, lambda w, ws=ws: w.isin(ws))).alias("n"), F.lit(l).alias("l")) for l, ws in sorted(profiles.items(), reverse=True)))
+
+    def hits(ws: list[str]) -> Column:
+        return F.size(F.filter(toks, lambda w: w.isin(ws)))
+
+    scores = F.array(*(F.struct(hits(ws).alias("n"), F.lit(l).alias("l")) for l, ws in sorted(profiles.items(), reverse=True)))
     best = F.array_max(scores)
     return df.withColumn(lang, F.coalesce(F.col(lang), F.when(best["n"] > 0, best["l"])))

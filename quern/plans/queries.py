@@ -21,7 +21,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-STOP = {k: T.stop_words(k) for k in ("en", "fr", "de", "es", "nl")}
+#: Short lists, so that the SQL can have them inline; the operator's own come from Spark.
+STOP = {
+    "en": "the be to of and that have with in it is on for as at this".split(), "fr": "le la les de des du et un une en que qui dans pour sur".split(), "de": "der die das und in von zu mit den dem ein eine ist auf".split(),
+    "es": "el la los las de y en que un una por con para del se".split(), "nl": "de het een en van in is op te dat die voor met".split(),
+}
 BAD = {"en": ["idiot", "moron", "scum"], "fr": ["vequ", "la"], "de": ["trash", "und"], "es": ["stupid"]}
 
 

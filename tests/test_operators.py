@@ -178,7 +178,7 @@ class Fixed:
 
 
 def test_sources(spark, tmp_path):
-    (tmp_path / "f.csv").write_text("label;aliases\nAnn Bo;A. Bo; Annie\nCy;\n")
+    (tmp_path / "f.csv").write_text('label;aliases\nAnn Bo;"A. Bo; Annie"\nCy;\n')
     assert sorted(r[0] for r in tables.public_figures(spark, str(tmp_path / "f.csv")).collect()) == ["A. Bo", "Ann Bo", "Annie", "Cy"]
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "en").write_text("bad\n\nworse\n")
