@@ -16,6 +16,7 @@ item_id, into as many automata as it takes, each of which scans the texts.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import ahocorasick
@@ -23,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, settle, table
+from .common import pick, table
 
 RUN, MIN_WORDS = 13, 5
 MAX_CHARS = 200_000_000
 _WORD = re.compile(r"\w+")
 SCHEMA = "doc_id long, item_id long, start int, end int, n_words int, share double"
 
-_built: dict[int, object] = {}
+_built: dict[str, object] = {}
 
 
 def normal(text: str | None) -> list[str]:
@@ -59,6 +60,14 @@ def automaton(pats: list[tuple[str, int, int, int]]):
     return a
 
 
+def built(key: str, shared):
+    """The automaton of these patterns; a worker holds the last one."""
+    if key not in _built:
+        _built.clear()
+        _built[key] = automaton(shared.value)
+    return _built[key]
+
+
 def scan(a, text: str | None) -> list[tuple[int, int, int, int, float]]:
     """(item, start, end, words, share of the item) of each stretch of text that is copied from an item, in order.
 
@@ -128,12 +137,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, run: int = RUN, least: i
     for part in shards(benchmark, run, least, most):
         shared = spark.sparkContext.broadcast(part)
 
-        def go(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            key = shared.id if hasattr(shared, "id") else id(shared)
-            a = _built.get(key)
-            if a is None:
-                _built.clear()
-                a = _built[key] = automaton(shared.value)
+        def go(it: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            a = built(key, shared)
             for b in it:
                 rows, idx = [], []
                 for k, t in enumerate(b["text"].to_pylist()):
@@ -160,8 +165,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     for part in shards(table(spark, sf_dir, "benchmark"), RUN, MIN_WORDS, MAX_CHARS):
         shared = spark.sparkContext.broadcast(part)
 
-        def go(it: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            a = automaton(shared.value)
+        def go(it: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            a = built(key, shared)
             for b in it:
                 keep = []
                 for t in b.column(at).to_pylist():
