@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import decontam, linededup, packing, simhash, toxicity
-from quern.llm.common import settle
+from quern.llm.common import drop_settled, settle
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,7 +28,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = settle(docs)
+            if k:
+                drop_settled(before)
     return docs
