@@ -54,7 +54,7 @@ class FineWebQuality(Filter):
 
     def prepare(self, df: DataFrame) -> DataFrame:
         t = F.col(self.text)
-        return df.withColumn("__lines", F.split(t, "\n", -1)).withColumn("__full", F.filter("__lines", lambda x: F.length(T.strip(x)) > 0)).withColumn("__tok", F.size(T.tokens(t)))
+        return df.withColumn("__lines", F.split(t, "\n", -1)).withColumn("__full", F.filter("__lines", lambda x: F.length(T.strip(x)) > 0)).withColumn("__tok", F.size(self.tokens(t)))
 
     def stats(self) -> Column:
         t, lines = F.col(self.text), F.col("__lines")
@@ -99,7 +99,7 @@ class GopherQuality(Filter):
         return T.by_language(F.col(self.lang), lists, lists.get(T.FALLBACK, F.array().cast("array<string>")))
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        return df.withColumn("__tok", T.tokens(F.col(self.text))).withColumn("__words", F.filter("__tok", lambda x: ~x.rlike(f"^{T.PUNCTUATION}+$"))).withColumn("__lines", T.split_lines(F.col(self.text)))
+        return df.withColumn("__tok", self.tokens(F.col(self.text))).withColumn("__words", F.filter("__tok", lambda x: ~x.rlike(f"^{T.PUNCTUATION}+$"))).withColumn("__lines", T.split_lines(F.col(self.text)))
 
     def stats(self) -> Column:
         t, tok, w, lines = F.col(self.text), F.col("__tok"), F.col("__words"), F.col("__lines")
@@ -192,7 +192,7 @@ class GopherRepetition(Filter):
         def grams(words: pd.Series) -> pd.Series:
             return pd.Series([None if w is None else gram_chars(list(w), tops, dups) for w in words])
 
-        return df.withColumn("__paras", F.split(T.strip(t), "\n{2,}", -1)).withColumn("__lines", F.split(t, "\n+", -1)).withColumn("__grams", grams(T.tokens(t)))
+        return df.withColumn("__paras", F.split(T.strip(t), "\n{2,}", -1)).withColumn("__lines", F.split(t, "\n+", -1)).withColumn("__grams", grams(self.tokens(t)))
 
     def stats(self) -> Column:
         n = F.length(self.text)

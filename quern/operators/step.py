@@ -7,6 +7,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
+from ..functions.treebank import treebank_tokens
+
 
 @dataclass(frozen=True, kw_only=True)
 class Filter:
@@ -20,8 +23,15 @@ class Filter:
     text: str = "text"
     lang: str = "lang"
     do_filter: bool = True
+    tokenizer: str = "unicode"
     name = "filter"
 
+    def tokens(self, c: Column) -> Column:
+        """Words by the native expression, or by Treebank conventions in Arrow batches."""
+        if self.tokenizer not in ("unicode", "treebank"):
+            raise ValueError("tokenizer must be unicode or treebank")
+        return treebank_tokens(c) if self.tokenizer == "treebank" else tokens(c)
+
     def prepare(self, df: DataFrame) -> DataFrame:
         """Arrays that several statistics need, as columns whose names start with __."""
         return df

@@ -142,3 +142,10 @@ def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "a fine line of text", "en"), (2, "x", "en")], "doc_id int, text string, lang string").write.parquet(str(tmp_path / "in"))
     curate(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck"), [filters.LineLength()]).awaitTermination()
     assert [r["doc_id"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == [1]
+
+
+def test_treebank(spark):
+    from quern.functions.treebank import treebank
+
+    assert treebank('They\'ll say "I can\'t, at 3,000: no." Then Smith cannot go...') == ["They", "'ll", "say", "``", "I", "ca", "n't", ",", "at", "3,000", ":", "no", ".", "''", "Then", "Smith", "can", "not", "go", "..."]
+    assert reason(spark, filters.GopherQuality(min_doc_words=10, stop_words=["the", "and"], tokenizer="treebank"), "the quick fox and the lazy dog walked over hills and valleys", "too short") == [None, "gopher_short_doc"]
