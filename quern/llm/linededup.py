@@ -42,7 +42,7 @@ from .kernel import Q, U64, Words, mix, powers, words
 
 MIN_BLOCK_WORDS = 20
 WRAP = 10
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 

@@ -27,7 +27,7 @@ from .common import chunks, pick, table
 from .kernel import U64, mix, windows, words
 
 SHINGLE, BINS, BITS = 5, 128, 8
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 SCHEMA = "doc_id long, n_shingles int, n_filled int, fingerprint binary"
 
 
