@@ -1,18 +1,27 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of lines with words that license texts use. A block
-is compressed with zstandard alone and with each template as raw dictionary;
-templates are ranked by how many bytes they save. From the best on, a
-template is confirmed by its exact wording: the words that block and template
-share, in order, must be SHARE of the template's, and the words that differ
-inside of the matched stretch are reported. A block without a confirmed
-template has no row.
+Texts are read as words, so it doesn't matter how a license is wrapped,
+indented or commented out. Around words that license texts use, windows are
+searched whose size depends on the template alone, not on lines: each holds
+any stretch of the template's size, with up to half as many words and SLACK
+added at each side of the longest run of words they share. A template is
+confirmed by its exact wording: the words that stretch and template share, in
+order, must be SHARE of the template's, and the words that differ inside of
+the stretch are reported. Windows whose words can't reach SHARE are passed
+over; that loses none.
+
+Stretches are compressed with zstandard alone and with their template as raw
+dictionary. The one whose template saves the most bytes counts, those that
+overlap it don't, and so on with the rest until nothing is confirmed; so each
+license of a text has its row.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
@@ -22,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import pick, table
 
-SHARE, LEAST_SAVED, LEVEL = 0.8, 6, 9
-#: Words that make a line a candidate. Also read by Java, so without look-around.
+SHARE, LEAST_SAVED, LEVEL, SLACK = 0.8, 6, 9, 8
+#: Words around which licenses are looked for. Also read by Java, so without look-around.
 CUE = r"(?i)licen[cs]|copyright|permission is hereby|redistribut|warrant|merchantab|creative commons|\bcc[ -](by|0)|\bgpl|public domain|all rights reserved|without limitation|damages|software"
 SCHEMA = "doc_id long, block int, first_line int, last_line int, license string, saved int, plain int, share double, exact boolean, differences string"
 
@@ -63,68 +72,131 @@ def normal(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def blocks(text: str) -> list[tuple[int, int, str]]:
-    """(first line, last line, text) of runs of cue lines; a line without a cue between two is part of a run."""
-    rows = text.split("\n")
-    out: list[list[int]] = []
-    for i, row in enumerate(rows):
-        if _CUE.search(row):
-            if out and i - out[-1][1] <= 2:
-                out[-1][1] = i
-            else:
-                out.append([i, i])
-    return [(a, b, "\n".join(rows[a : b + 1])) for a, b in out]
+def located(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The text's words, the line of each, and the indices of words at which a cue begins, ascending."""
+    words: list[str] = []
+    line: list[int] = []
+    cues: list[int] = []
+    for i, row in enumerate(text.lower().split("\n")):
+        at = [(m.group(), m.end()) for m in _WORD.finditer(row)]
+        ends = [e for _, e in at]
+        cues += [len(words) + k for m in _CUE.finditer(row) if (k := bisect_right(ends, m.start())) < len(at)]
+        words += [w for w, _ in at]
+        line += [i] * len(at)
+    return words, line, cues
 
 
 class Scanner:
     def __init__(self, templates: Mapping[str, str] = TEMPLATES) -> None:
         # with the text it looks for, zstandard is asked for the same search effort, dictionary or not
         self.plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, write_checksum=False).compress
-        self.given = []
+        self.given = {}
+        #: names of templates by the words that a stretch of theirs can have at most
+        self.sizes: dict[int, list[str]] = {}
         for name, text in sorted(templates.items()):
             words = normal(text)
             d = zstandard.ZstdCompressionDict(" ".join(words).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            self.given.append((name, words, zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False).compress))
-
-    def wording(self, block: list[str], template: list[str]) -> tuple[float, list[str]]:
-        """Share of the template's words found in order, and the differences inside of the matched stretch."""
-        m = difflib.SequenceMatcher(None, template, block, autojunk=False)
-        ops = m.get_opcodes()
-        share = sum(i2 - i1 for op, i1, i2, _, _ in ops if op == "equal") / max(1, len(template))
-        diffs = []
-        for k, (op, i1, i2, j1, j2) in enumerate(ops):
-            if op == "equal" or (i1 == i2 and k in (0, len(ops) - 1)):
+            self.given[name] = (words, Counter(words), zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False).compress)
+            if words:
+                self.sizes.setdefault(2 * ((1 << (len(words) - 1).bit_length()) + SLACK), []).append(name)
+
+    def possible(self, name: str, words: list[str]) -> bool:
+        template, bag, _ = self.given[name]
+        have = bag.keys() & set(words)
+        return sum(bag[w] for w in have) >= SHARE * len(template)
+
+    def wording(self, block: list[str], template: list[str]) -> tuple[float, int, int, list[str]]:
+        """Share of the template's words found in order, the stretch of the block they are in, and the differences inside of it."""
+        runs = [r for r in difflib.SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if r.size]
+        # single words that happen to stand before or after the license aren't its own, as long as the rest confirms it
+        best = None
+        for i in range(len(runs)):
+            found = 0
+            for k in range(i, len(runs)):
+                found += runs[k].size
+                if found >= SHARE * len(template):
+                    score = found - (runs[k].b + runs[k].size - runs[i].b - found) / 2
+                    if best is None or score > best[0]:
+                        best = (score, found, runs[i : k + 1])
+        if best is None:
+            return 0.0, 0, 0, []
+        _, found, runs = best
+        diffs, i, j = [], 0, runs[0].b
+        for r in runs:
+            if (r.a, r.b) != (i, j):
+                diffs.append(f"-{' '.join(template[i : r.a])} +{' '.join(block[j : r.b])}")
+            i, j = r.a + r.size, r.b + r.size
+        if i < len(template):
+            diffs.append(f"-{' '.join(template[i:])} +")
+        return found / len(template), runs[0].b, j, diffs
+
+    def confirmed(self, name: str, words: list[str], lo: int, hi: int) -> Iterator[tuple[float, int, int, list[str]]]:
+        """(share, first word, end, differences) of the template's stretches in words[lo:hi]."""
+        template = self.given[name][0]
+        todo = [(lo, hi)]
+        while todo:
+            lo, hi = todo.pop()
+            part = words[lo:hi]
+            if len(part) < SHARE * len(template) or not self.possible(name, part):
+                continue
+            m = difflib.SequenceMatcher(None, template, part, autojunk=False).find_longest_match(0, len(template), 0, len(part))
+            if not m.size:
                 continue
-            # words of the block before the first and after the last match aren't the license's
-            new = [] if k in (0, len(ops) - 1) else block[j1:j2]
-            diffs.append(f"-{' '.join(template[i1:i2])} +{' '.join(new)}")
-        return share, diffs
+            room = len(template) // 2 + SLACK
+            a, b = max(lo, lo + m.b - m.a - room), min(hi, lo + m.b - m.a + len(template) + room)
+            share, i, j, diffs = self.wording(words[a:b], template)
+            if share >= SHARE:
+                a, b = a + i, a + j
+                yield share, a, b, diffs
+            else:
+                a, b = lo + m.b, lo + m.b + m.size
+            todo += [(lo, a), (b, hi)]
+
+    def candidates(self, words: list[str], cues: list[int], lo: int, hi: int) -> list[tuple]:
+        """(-saved, number of differences, -words of the template, name, first word, end, plain, share, differences) of the confirmed stretches in words[lo:hi]."""
+        out = {}
+        for size, names in self.sizes.items():
+            for s in range(lo, hi, size):
+                e = min(hi, s + 2 * size)
+                k = bisect_left(cues, s)
+                if k == len(cues) or cues[k] >= e:
+                    continue
+                for name in names:
+                    template, _, given = self.given[name]
+                    for share, a, b, diffs in self.confirmed(name, words, s, e):
+                        if (name, a, b) in out:
+                            continue
+                        data = " ".join(words[a:b]).encode("utf-8", "replace")
+                        plain = len(self.plain(data))
+                        saved = plain - len(given(data))
+                        if saved >= LEAST_SAVED:
+                            out[name, a, b] = (-saved, len(diffs), -len(template), name, a, b, plain, share, diffs)
+        return sorted(out.values())
 
     def scan(self, text: str | None) -> list[tuple[int, int, int, str, int, int, float, bool, str]]:
-        out = []
-        for n, (a, b, block) in enumerate(blocks(text) if text else []):
-            words = normal(block)
-            data = " ".join(words).encode("utf-8", "replace")
-            plain = len(self.plain(data))
-            ranked = sorted(((plain - len(c(data)), name, w) for name, w, c in self.given), key=lambda x: (-x[0], x[1]))
-            best = None
-            for saved, name, w in ranked:
-                if saved < LEAST_SAVED or (best and saved < best[0]):
-                    break
-                share, diffs = self.wording(words, w)
-                if share >= SHARE and (best is None or (len(diffs), -len(w)) < (len(best[3]), -best[4])):
-                    best = (saved, name, share, diffs, len(w))
-            if best:
-                saved, name, share, diffs, _ = best
-                out.append((n, a, b, name, saved, plain, share, not diffs, "; ".join(diffs)))
-        return out
+        words, line, cues = located(text) if text else ([], [], [])
+        taken: list[tuple] = []
+        todo = [(0, len(words))] if cues else []
+        while todo:
+            lo, hi = todo.pop()
+            mine: list[tuple] = []
+            over: list[tuple] = []
+            for c in self.candidates(words, cues, lo, hi):
+                (over if any(c[4] < t[5] and t[4] < c[5] for t in mine) else mine).append(c)
+            taken += mine
+            # what overlaps a license may have another one in the words that are left
+            edges = [lo, *(x for t in sorted(mine, key=lambda t: t[4]) for x in t[4:6]), hi]
+            todo += [(a, b) for a, b in zip(edges[::2], edges[1::2]) if any(c[4] < b and a < c[5] for c in over)]
+        taken.sort(key=lambda t: t[4])
+        return [(n, line[a], line[b - 1], name, -saved, plain, share, not diffs, "; ".join(diffs)) for n, (saved, _, _, name, a, b, plain, share, diffs) in enumerate(taken)]
 
 
 def scanned(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
-    """A row for each block with a confirmed license: doc_id, block, first and last line, license, saved and plain bytes, share, exact, differences.
+    """A row for each confirmed license: doc_id, block, first and last line, license, saved and plain bytes, share, exact, differences.
 
-    Of templates that save equally much the one with the fewest differences
-    counts, then the longest. Null and empty texts have no rows; repeated rows
+    Blocks are the stretches of words that licenses have, numbered within a
+    text; lines and bytes are theirs. Of templates that save equally much the
+    one with the fewest differences counts, then the longest. Null and empty texts have no rows; repeated rows
     are each scanned; a null doc_id stays null; further columns of docs are
     left out; an empty table gives no rows.
     """

@@ -2,6 +2,7 @@
 
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -307,6 +308,16 @@ def test_license_wording():
     assert s.scan("This license plate is new.") == [] and s.scan("All software has damages, they say.") == []
 
 
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// "])
+def test_license_wrapped(name, mark):
+    rng = random.Random(13)
+    parts = re.split(r"(?<=[.:;]) (?=[A-Z1-9])", licenses.TEMPLATES[name])
+    rows = f"\n{mark.rstrip()}\n".join("\n".join(mark + x for x in textwrap.wrap(p, 72)) for p in parts)
+    (r,) = licenses.Scanner().scan(prose(rng, 30) + "\n" + rows + "\n" + prose(rng, 30))
+    assert r[3] == name and r[7] and (r[1], r[2]) == (1, 1 + rows.count("\n"))
+
+
 # --- 10
 
 
