@@ -318,6 +318,15 @@ def test_license_wrapped(name, mark):
     assert r[3] == name and r[7] and (r[1], r[2]) == (1, 1 + rows.count("\n"))
 
 
+@pytest.mark.parametrize("n", [1000, 5000, 20000])
+def test_license_in_long_line(n):
+    rng = random.Random(14)
+    s = licenses.Scanner()
+    for name, text in licenses.TEMPLATES.items():
+        (r,) = s.scan(f"{prose(rng, n // 2)} {text} {prose(rng, n // 2)}")
+        assert r[3] == name and r[7] and r[4] >= licenses.LEAST_SAVED
+
+
 # --- 10
 
 
