@@ -327,6 +327,15 @@ def test_license_in_long_line(n):
         assert r[3] == name and r[7] and r[4] >= licenses.LEAST_SAVED
 
 
+@pytest.mark.parametrize("between", [" ", "\n", "\n\n"])
+def test_licenses_side_by_side(between):
+    s = licenses.Scanner()
+    assert [(r[0], r[3], r[7]) for r in s.scan(f"Released under the MIT License.{between}Licensed under the Apache License, Version 2.0.")] == [(0, "MIT/line", True), (1, "Apache-2.0/line", True)]
+    names = [*licenses.TEMPLATES, *licenses.TEMPLATES]
+    random.Random(15).shuffle(names)
+    assert [(r[3], r[7]) for r in s.scan(between.join(licenses.TEMPLATES[n] for n in names))] == [(n, True) for n in names]
+
+
 # --- 10
 
 
