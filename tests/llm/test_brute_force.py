@@ -140,6 +140,23 @@ def test_line_dedup(spark):
     assert linededup.increasing([5, 1, 2, 9, 3]) in ([1, 2, 4], [1, 2, 3])
 
 
+def test_line_dedup_short_lines(spark):
+    rng = random.Random(16)
+    texts, copies = [], []
+    for longest in (1, 2, 3, 4):
+        for _ in range(30):
+            rows = [" ".join(rng.choice(WORDS) for _ in range(rng.randint(1, longest))) for _ in range(60)]
+            rows = rows[: next(k for k in range(60) if sum(len(r.split()) for r in rows[: k + 1]) >= 59) + 1]
+            texts += ["\n".join([prose(rng, 40), *rows, prose(rng, 40)]) for _ in range(2)]
+            copies.append(kernel_words("\n".join(rows)))
+    new = {r["doc_id"]: kernel_words(r["text"]) for r in linededup.dedup(frame(spark, texts)).collect()}
+    for k, block in enumerate(copies):
+        first, second = (kernel_words(t) for t in texts[2 * k : 2 * k + 2])
+        left = {tuple(new[2 * k + 1][i : i + 40]) for i in range(len(new[2 * k + 1]) - 39)}
+        assert new[2 * k] == first and len(second) - len(new[2 * k + 1]) >= linededup.MIN_BLOCK_WORDS
+        assert not left & {tuple(block[i : i + 40]) for i in range(len(block) - 39)}
+
+
 def kernel_words(t):
     return re.findall(r"\w+", t.lower())
 
