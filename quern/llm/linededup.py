@@ -20,8 +20,11 @@ in the later document form the longest increasing subsequence of positions;
 these anchors are extended over adjacent lines. Runs of consecutive lines
 make blocks; a gap inside of a block counts as part of it if both sides skip
 equally many lines and each of these has an earlier holder, too. Blocks of
-MIN_BLOCK_WORDS words or more are deleted; with the parts of lines at both
-ends that stay, this holds for any common passage of 50 words. What remains is aligned again,
+MIN_BLOCK_WORDS words or more are deleted. The parts of lines at both ends of
+a common passage stay, so a short one may have fewer words in whole lines: of
+3000 passages of 50 words of sf0.1, 3 if more than 35 of the words are
+distinct, 85 if more than 25 are; of 60 words, 0 and 34 (more than 42 and 30
+distinct). What remains is aligned again,
 until no such block is left, so moved and repeated blocks go as well.
 
 A line only goes from documents after its first holder, so every line stays
