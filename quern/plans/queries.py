@@ -311,10 +311,20 @@ for _spec in pii.SPECS.values():
 
 @query(" UNION ALL ".join(f"SELECT '{s.name}' AS type, coalesce(sum(len(regexp_extract_all(text, {lit(s.pattern)}))), 0)::BIGINT AS n FROM t" for s in _PLAIN).join((f"WITH t AS ({_TEXTS}) ", "")))
 def pii_counts_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """The types that SQL can check; pii_counts_all_types has all."""
+    return _type_counts(spark, sf, _PLAIN)
+
+
+@query()
+def pii_counts_all_types(spark: SparkSession, sf: str) -> DataFrame:
     """All types in one pass over the texts."""
-    t = texts(spark, sf).select(*(pii.mask_text(F.col("text"), s)["count"].alias(s.name) for s in _PLAIN))
-    sums = t.agg(*(F.coalesce(F.sum(F.col(s.name)), F.lit(0)).cast("long").alias(s.name) for s in _PLAIN))
-    return sums.select(F.explode(F.array(*(F.struct(F.lit(s.name).alias("type"), F.col(s.name).alias("n")) for s in _PLAIN))).alias("x")).select("x.*")
+    return _type_counts(spark, sf, list(pii.SPECS.values()))
+
+
+def _type_counts(spark: SparkSession, sf: str, specs: list[pii.Spec]) -> DataFrame:
+    t = texts(spark, sf).select(*(pii.mask_text(F.col("text"), s)["count"].alias(s.name) for s in specs))
+    sums = t.agg(*(F.coalesce(F.sum(F.col(s.name)), F.lit(0)).cast("long").alias(s.name) for s in specs))
+    return sums.select(F.explode(F.array(*(F.struct(F.lit(s.name).alias("type"), F.col(s.name).alias("n")) for s in specs))).alias("x")).select("x.*")
 
 
 def _chain_query(chain: str) -> None:

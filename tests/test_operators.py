@@ -74,6 +74,20 @@ def test_windows_masks_and_chains(spark):
     assert "<person>1" in r["text"] and "<person>2" in r["text"]
 
 
+def test_counts_of_all_types(spark, tmp_path):
+    from quern.plans import queries
+
+    found = ["mail a.b@example.com", "iban NL91ABNA0417164300", "card 4111111111111111", "bsn 111222333", "ssn 123-45-6789", "see /home/someone/file.txt", "bel 06-12345678 of (020) 1234567", "rijbewijs 1234567890", "australia N1234567", "mac 00:1b:44:11:3a:22"]
+    spark.createDataFrame(list(enumerate([*found, *found[:3], None])), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("pages", "customer"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(10).write.parquet(str(tmp_path / f"{name}.parquet"))
+    n = {r["type"]: r["n"] for r in queries.QUERIES["pii_counts_all_types"](spark, str(tmp_path)).collect()}
+    masks = {k.removeprefix("pii_mask_").replace("_", ""): f for k, f in queries.QUERIES.items() if k.startswith("pii_mask_")}
+    assert set(n) == {s.name for s in pii.SPECS.values()} and len(masks) == len(n)
+    assert n == {t: sum(r["n"] for r in masks[t.lower().replace("_", "")](spark, str(tmp_path)).collect()) for t in n}
+    assert all(n[t] for t in ("EmailAddress", "FilePath", "DutchPhoneNumber", "USSocialSecurityNumber"))
+
+
 def test_entities():
     assert "".join(ner.split_chunks("ab cd  efg h", 4)) == "ab cd  efg h" and all(len(c) <= 4 or " " not in c.strip() for c in ner.split_chunks("ab cd  efg h", 4))
     assert ner.split_chunks("abcdef", 4, "characters") == ["abcd", "ef"] and "".join(ner.split_chunks("One. Two! Three", 6, "sentences")) == "One. Two! Three"
