@@ -9,8 +9,7 @@ import uuid
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,22 +40,43 @@ def shared_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
+_settled: dict[str, SparkSession] = {}
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: its lineage is cut and survives lost executors."""
+    """df written as Parquet to the shared folder and read again: its lineage is cut and survives lost executors.
+
+    What isn't dropped before goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quern-{uuid.uuid4().hex}"
+    if not _settled:
+        atexit.register(_drop_all)
+    _settled[path] = spark
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _drop_all() -> None:
+    for path, spark in list(_settled.items()):
+        try:
+            _delete(spark, path)
+        except Exception:  # the session has ended
+            return
+
+
 def drop_settled(df: DataFrame) -> None:
     """Removes what settle() wrote, once nothing will read it again."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/quern-" in path:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(df.sparkSession, path)
+            for known in [k for k in _settled if k.rsplit("/", 1)[1] == path.rsplit("/", 1)[1]]:
+                del _settled[known]
 
 
 def chunks(texts: Sequence[str | None], most_bytes: int) -> Iterator[tuple[int, int]]:
@@ -73,14 +93,13 @@ def chunks(texts: Sequence[str | None], most_bytes: int) -> Iterator[tuple[int,
 
 
 def batches(it: Iterable[pa.RecordBatch], most_bytes: int) -> Iterator[pa.RecordBatch]:
-    """Arrow batches cut so that no text column chunk outgrows most_bytes."""
+    """Arrow batches cut in halves until none of several rows has more than most_bytes; empty ones are left out."""
     for b in it:
-        if not b.num_rows:
-            continue
-        step = max(1, int(b.num_rows * most_bytes / max(1, b.nbytes)))
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
-
-
-def id_order(c: str) -> Column:
-    return F.col(c).asc_nulls_last()
+        todo = [b] if b.num_rows else []
+        while todo:
+            x = todo.pop()
+            if x.num_rows > 1 and x.nbytes > most_bytes:
+                h = x.num_rows // 2
+                todo += [x.slice(h), x.slice(0, h)]
+            else:
+                yield x

@@ -22,18 +22,18 @@ _BYTES[[*range(48, 58), *range(65, 91), *range(97, 123), 95, *range(128, 256)]]
 #: Unicode spaces, punctuation and symbols that would otherwise count as parts of words.
 _OTHER = re.compile("[\u0080-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf\u00d7\u00f7\u1680\u2000-\u206f\u20a0-\u20cf\u2190-\u2bff\u3000-\u3004\u3008-\u3020\u3030\ufe30-\ufe4f\uff00-\uff0f\uff1a-\uff20\uff3b-\uff40\uff5b-\uff65\ufff0-\uffff]")
 
+BLOCK = 1 << 20
 _pow: dict[int, np.ndarray] = {}
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; the longest so far is kept."""
-    have = _pow.get(base)
-    if have is None or len(have) < n:
-        full = np.full(max(n, 1 << 16), base, U64)
+def powers(base: int) -> np.ndarray:
+    """base**0 .. base**BLOCK modulo 2**64."""
+    if base not in _pow:
+        full = np.full(BLOCK + 1, base, U64)
         full[0] = 1
         with np.errstate(over="ignore"):
-            have = _pow[base] = np.multiply.accumulate(full)
-    return have[:n]
+            _pow[base] = np.multiply.accumulate(full)
+    return _pow[base]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -66,40 +66,59 @@ def lowered(t: str | None) -> bytes:
 
 
 def words(texts: Sequence[str | None]) -> Words:
+    """Memory besides the bytes themselves is some 40 bytes a word; hashing runs by BLOCK, however long a text is."""
     parts = [lowered(t) for t in texts]
+    offsets = np.zeros(len(parts) + 1, np.int64)
+    np.cumsum([len(p) + 1 for p in parts], out=offsets[1:])
     data = b"\n".join(parts) + b"\n"
+    del parts
     raw = np.frombuffer(data, np.uint8)
     inside = _BYTES[raw]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if inside[0]:
         edge = np.concatenate(([0], edge))
+    del inside
     start, end = edge[0::2], edge[1::2]
-    offsets = np.zeros(len(parts) + 1, np.int64)
-    np.cumsum([len(p) + 1 for p in parts], out=offsets[1:])
-    bound = np.searchsorted(start, offsets)
+    h = np.zeros(len(start), U64)
+    up, down = powers(P), powers(P_INV)
+    carry = U64(0)
     with np.errstate(over="ignore"):
-        pre = np.zeros(len(raw) + 1, U64)
-        np.cumsum((raw.astype(U64) + U64(1)) * powers(P, len(raw)), out=pre[1:])
-        h = (pre[end] - pre[start]) * powers(P_INV, len(raw))[start]
+        # of the sums of (byte + 1) * P**place up to each place, those at the words' ends less those at their starts
+        for base in range(0, len(raw), BLOCK):
+            block = raw[base : base + BLOCK]
+            pre = np.empty(len(block) + 1, U64)
+            pre[0] = carry
+            np.cumsum((block.astype(U64) + U64(1)) * (up[: len(block)] * U64(pow(P, base, 1 << 64))), out=pre[1:])
+            pre[1:] += carry
+            carry = pre[-1]
+            i, j = np.searchsorted(start, (base, base + len(block)))
+            h[i:j] -= pre[start[i:j] - base]
+            i, j = np.searchsorted(end, (base, base + len(block)), "right")
+            h[i:j] += pre[end[i:j] - base]
+        for base in range(0, len(raw), BLOCK):
+            i, j = np.searchsorted(start, (base, base + BLOCK))
+            h[i:j] *= down[start[i:j] - base] * U64(pow(P_INV, base, 1 << 64))
         h = mix(h + (end - start).astype(U64) * U64(Q))
-    return Words(data, raw, start, end, bound, h)
+    return Words(data, raw, start, end, np.searchsorted(start, offsets), h)
+
+
+def run_hashes(h: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Of each place the hash of the length hashes from there on; all lengths lie within the array."""
+    out = np.zeros(len(h), U64)
+    with np.errstate(over="ignore"):
+        for t in range(int(length.max()) if len(h) else 0):
+            i = np.flatnonzero(length > t)
+            out[i] += h[i + t] * U64(pow(Q, t, 1 << 64))
+        return mix(out + length.astype(U64))
 
 
 def windows(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, text) of all runs of k words; a text with fewer words gives its one run of all words."""
-    n = len(w.hash)
     doc = w.doc()
-    if not n:
-        return w.hash, doc
-    with np.errstate(over="ignore"):
-        pre = np.zeros(n + 1, U64)
-        np.cumsum(w.hash * powers(Q, n), out=pre[1:])
-        i = np.arange(n)
-        last = np.minimum(i + k, w.bound[doc + 1])
-        keep = (last - i == k) | (i == w.bound[doc])
-        i, last = i[keep], last[keep]
-        h = mix((pre[last] - pre[i]) * powers(pow(Q, -1, 1 << 64), n)[i] + (last - i).astype(U64))
-    return h, doc[keep]
+    i = np.arange(len(w.hash))
+    left = w.bound[doc + 1] - i
+    keep = (left >= k) | (i == w.bound[doc])
+    return run_hashes(w.hash, np.minimum(left, k))[keep], doc[keep]
 
 
 def distinct(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

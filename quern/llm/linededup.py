@@ -7,52 +7,54 @@ the NEAR words before it, itself and the NEAR after it, words that a sentence
 or line ends with coming first. However short lines and sentences are, such a
 place comes every 7 words or so; only runs of a few words over and over have
 none. Words are lower-cased; punctuation doesn't count. What results, of four
-words or more but at a text's ends, is called a line below. Lines this long
-are rare: apart from copies, few recur.
-
-Pairs. Documents come in the order of doc_id. Every line has a first holder,
-the earliest document that has it; a later document is paired with the first
-holders of its lines. So a line in n documents gives n - 1 pairs, not n**2,
-and needs no cap.
-
-Alignment. Patience diff: of the lines a pair shares, those that occur once
-in the later document form the longest increasing subsequence of positions;
-these anchors are extended over adjacent lines. Runs of consecutive lines
-make blocks; a gap inside of a block counts as part of it if both sides skip
-equally many lines and each of these has an earlier holder, too. Blocks of
-MIN_BLOCK_WORDS words or more are deleted. The parts of lines at both ends of
-a common passage stay, so a short one may have fewer words in whole lines: of
-3000 passages of 50 words of sf0.1, 3 if more than 35 of the words are
-distinct, 85 if more than 25 are; of 60 words, 0 and 34 (more than 42 and 30
-distinct). What remains is aligned again,
-until no such block is left, so moved and repeated blocks go as well.
-
-A line only goes from documents after its first holder, so every line stays
+words or more but at a text's ends, is called a line below.
+
+Rare hashes. A line of seven words may recur by chance, or be a phrase that
+millions of documents have. What is hashed is therefore, from each line on,
+the shortest run of lines with MIN_BLOCK_WORDS words (and the shortest such
+run that ends with the text): documents have a block of that many words in
+common if and only if they share such a hash. Two documents that don't copy hardly ever do, so the hashes are rare by their
+length; a limit of documents a hash would lose the passages that many have.
+
+Pairs. Documents come in the order of doc_id, then of a hash of the text.
+Each hash has a first holder, the earliest document with it; a later document
+is paired with the first holders of its hashes. So a hash in n documents
+gives n - 1 links, not n**2, and needs no cap.
+
+Alignment. Patience diff of each pair: runs that occur once on either side
+are anchors, of which the longest increasing subsequence is kept and extended
+over adjacent runs; what that aligns is a block. Runs that cross the blocks
+are aligned again by themselves, until none is left, so moved and repeated
+blocks are found as well. Only aligned blocks are deleted. The parts of lines
+at both ends of a common passage stay, so a short one may have fewer words in
+whole lines: of 3000 passages of 50 words of sf0.1, 3 if more than 35 of the
+words are distinct, 85 if more than 25 are; of 60 words, 0 and 34 (more than
+42 and 30 distinct).
+
+A block only goes from documents after its first holder, so every line stays
 somewhere.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, pick, settle, table
-from .kernel import Q, U64, Words, mix, powers, words
+from .common import batches, chunks, pick, settle, table
+from .kernel import Q, U64, Words, mix, words
 
 MIN_BLOCK_WORDS = 20
 NEAR = 3
-_CHUNK = 1 << 20
+_CHUNK, _BATCH = 1 << 20, 16 << 20
 _STOP = np.zeros(256, bool)
 _STOP[[10, 33, 46, 63]] = True
 
-RESULT = "doc_id long, n_lines int, n_lines_removed int, n_words_removed int"
-
 
 def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of all lines: the index of their first word, their number of words, the text they are of."""
@@ -78,11 +80,38 @@ def lines(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def line_hashes(w: Words, first: np.ndarray, count: np.ndarray) -> np.ndarray:
-    if not len(first):
-        return np.zeros(0, U64)
+    out = np.zeros(len(first), U64)
+    most = 64  # a longer line goes on by the word: only texts of a few words over and over have one
+    with np.errstate(over="ignore"):
+        for t in range(min(most, int(count.max())) if len(first) else 0):
+            i = np.flatnonzero(count > t)
+            out[i] += w.hash[first[i] + t] * U64(pow(Q, t, 1 << 64))
+        for k in np.flatnonzero(count > most):
+            own = w.hash[first[k] + most : first[k] + count[k]]
+            q = np.full(len(own), Q, U64)
+            q[0] = U64(pow(Q, most, 1 << 64))
+            out[k] += (own * np.multiply.accumulate(q)).sum(dtype=U64)
+        return mix(out + count.astype(U64))
+
+
+def runs(hashes: np.ndarray, count: np.ndarray, doc: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first line, number of lines, hash) of the shortest run with least words from each line on, and of each text's shortest that ends with it.
+
+    Lines too near to their text's end have none of the former.
+    """
+    total = np.concatenate(([0], np.cumsum(count)))
+    end = np.searchsorted(total, total[:-1] + least)
+    at = np.flatnonzero(end <= np.searchsorted(doc, doc, "right"))
+    last = np.flatnonzero(np.concatenate((doc[1:] != doc[:-1], [True])))[: len(doc)] + 1
+    tail = np.searchsorted(total, total[last] - least, "right") - 1
+    ok = (tail >= np.searchsorted(doc, doc[last - 1])) & (end[tail] != last)
+    at, end = np.concatenate((at, tail[ok])), np.concatenate((end[at], last[ok]))
+    out = np.zeros(len(at), U64)
     with np.errstate(over="ignore"):
-        at = np.arange(len(w.hash)) - np.repeat(first, count)
-        return mix(np.add.reduceat(w.hash * powers(Q, int(count.max()))[at], first) + count.astype(U64))
+        for t in range(int((end - at).max()) if len(at) else 0):
+            i = np.flatnonzero(end - at > t)
+            out[i] += hashes[at[i] + t] * U64(pow(Q, t, 1 << 64))
+        return at, end - at, mix(out + (end - at).astype(U64))
 
 
 def increasing(seq: list[int]) -> list[int]:
@@ -105,163 +134,168 @@ def increasing(seq: list[int]) -> list[int]:
     return out[::-1]
 
 
-def aligned(idx: list[int], there: list[int], anchor: list[bool], n_words: list[int], shared: set[int], least: int) -> list[tuple[int, int]]:
-    """Blocks (first line, last line) of the later document that the pair has in common.
+def aligned(found: list[tuple[int, int, int, bool]]) -> list[list[int]]:
+    """Blocks [first line, there, lines] that a pair has in common, by patience diff over and over.
 
-    idx: the later document's lines that the other has, ascending; there: the
-    other's; shared: lines of the later one that any earlier document has.
+    found: (line of the later document, line of the earlier one, lines that
+    are equal from there on, whether the run occurs once in either), ascending.
     """
-    size = dict(zip(idx, n_words))
-    where = dict(zip(idx, there))
-    free = dict(where)
-    found: list[tuple[int, int]] = []
+    free: dict[tuple[int, int], tuple[int, bool]] = {}
+    for i, j, n, once in found:
+        free[i, j] = max(free.get((i, j), (0, False)), (n, once))
+    blocks: list[list[int]] = []
     while free:
         order = sorted(free)
-        use = [i for i, a in zip(idx, anchor) if a and i in free] or order
-        spine = [use[k] for k in increasing([where[i] for i in use])]
-        blocks: list[list[int]] = []
-        for i in spine:
-            if blocks and i <= blocks[-1][1]:
-                continue
-            lo = hi = i
-            floor = blocks[-1][1] if blocks else -1
-            while lo - 1 > floor and free.get(lo - 1) == where[lo] - 1:
-                lo -= 1
-            while free.get(hi + 1) == where[hi] + 1:
-                hi += 1
-            if blocks and 0 < (gap := lo - blocks[-1][1]) == where[lo] - where[blocks[-1][1]] and all(k in shared for k in range(blocks[-1][1] + 1, lo)) and gap <= 4:
-                blocks[-1][1] = hi
-            else:
-                blocks.append([lo, hi])
-        good = [(a, b) for a, b in blocks if sum(size.get(k, 0) for k in range(a, b + 1)) >= least]
-        if not good:
-            # the spine may have passed over a block that crosses it: without the spine's lines, try the others
-            for i in spine:
-                free.pop(i, None)
-            continue
-        found += good
-        for a, b in good:
-            for k in range(a, b + 1):
-                free.pop(k, None)
-    return found
-
-
-def decide(entries: list[tuple[int, int, int, int]], least: int = MIN_BLOCK_WORDS) -> list[int]:
-    """Lines of one document to delete, from (line, first holder, line there, words) of each line with an earlier holder."""
-    shared = {e[0] for e in entries}
-    by: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-    for i, holder, there, n in sorted(entries):
-        by[holder].append((i, there, n))
-    gone: set[int] = set()
-    for mine in by.values():
-        if sum(n for _, _, n in mine) < least // 2:
-            continue
-        times = Counter(t for _, t, _ in mine)
-        for a, b in aligned([i for i, _, _ in mine], [t for _, t, _ in mine], [times[t] == 1 for _, t, _ in mine], [n for _, _, n in mine], shared, least // 2):
-            gone.update(range(a, b + 1))
-    # a passage may go on under another first holder: what is deleted are runs of shared lines around an aligned block
-    out: list[int] = []
-    run: list[int] = []
-    size = {e[0]: e[3] for e in entries}
-    for i in [*sorted(shared), None]:
-        if run and i != run[-1] + 1:
-            if sum(size[k] for k in run) >= least and any(k in gone for k in run):
-                out += run
-            run = []
-        if i is not None:
-            run.append(i)
-    return out
-
-
-def shared_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, hash, line, n_words, holder, there): lines of documents that an earlier one has."""
+        anchors = [p for p in order if free[p][1]] or order
+        mine: list[list[int]] = []
+        for i, j in (anchors[k] for k in increasing([j for _, j in anchors])):
+            if (i, j) not in free:
+                continue  # in the block before
+            while (i - 1, j - 1) in free:
+                i, j = i - 1, j - 1
+            b = [i, j, 0]
+            while (at := free.pop((i, j), None)) is not None:
+                b[2] = max(b[2], i - b[0] + at[0])
+                i, j = i + 1, j + 1
+            mine.append(b)
+        blocks += mine
+    return blocks
+
+
+def decide(entries: list[tuple[int, int, object, int, bool]]) -> list[int]:
+    """Lines of one document to delete, from (line, lines, holder, line there, once in either) of each run with an earlier holder."""
+    by: dict[object, list[tuple[int, int, int, bool]]] = defaultdict(list)
+    for i, n, holder, there, once in sorted(entries):
+        by[holder].append((i, there, n, once))
+    return sorted({k for mine in by.values() for i, _, n in aligned(mine) for k in range(i, i + n)})
+
+
+def run_rows(docs: DataFrame, least: int) -> DataFrame:
+    """(hash, doc_id, version, place) of all runs; place has from bit 11 on the line, from bit 1 on the number of lines, and 1 if the document has it again."""
+    if not 1 <= least < 1024:
+        raise ValueError("least must be from 1 to 1023 words")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            ids, texts = b["doc_id"], b["text"].to_pylist()
+        for b in batches(it, _BATCH):
+            texts = b["text"].to_pylist()
             for s, e in chunks(texts, _CHUNK):
                 w = words(texts[s:e])
                 first, count, doc = lines(w)
-                number = np.arange(len(first)) - np.searchsorted(doc, doc)
-                yield pa.RecordBatch.from_arrays([pa.array(line_hashes(w, first, count).view(np.int64)), ids.slice(s, e - s).take(pa.array(doc)), pa.array(number.astype(np.int32)), pa.array(np.minimum(count, 32767).astype(np.int16))], ["hash", "doc_id", "line", "n_words"])
-
-    src = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null").withColumn("doc_id", F.col("doc_id").cast("long"))
-    seeds = src.mapInArrow(run, "hash long, doc_id long, line int, n_words short")
-    w = Window.partitionBy("hash")
-    held = seeds.withColumn("first", F.min(F.struct("doc_id", "line")).over(w))
-    return held.where("doc_id > first.doc_id").select("doc_id", "line", "n_words", F.col("first.doc_id").alias("holder"), F.col("first.line").alias("there"))
+                at, n, h = runs(line_hashes(w, first, count), count, doc, least)
+                doc_of = doc[at]
+                order = np.lexsort((h, doc_of))
+                same = (h[order][1:] == h[order][:-1]) & (doc_of[order][1:] == doc_of[order][:-1])
+                again = np.zeros(len(at), bool)
+                again[order[1:][same]] = again[order[:-1][same]] = True
+                place = ((at - np.searchsorted(doc, doc_of)) << 11) + (n << 1) + again
+                take = pa.array(doc_of + s)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["doc_id"].take(take), b["version"].take(take), pa.array(place)], ["hash", "doc_id", "version", "place"])
+
+    src = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
+    return src.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "hash long, doc_id long, version long, place long")
+
+
+def shared_runs(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
+    """(doc_id, version, place, holder, there): runs of documents that an earlier one has, with its first holder.
+
+    First holders come from an aggregation, so a hash that many documents have
+    is combined before it is shuffled; its rows are then joined with one row,
+    a join that can be split where it is skewed.
+    """
+    rows = run_rows(docs, least)
+    first = F.min(F.struct("doc_id", "version", "place")).alias("first")
+    held = rows.groupBy("hash").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("hash").alias("hash_"), "first")
+    both = rows.join(held, F.col("hash") == F.col("hash_"))
+    later = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("version") != F.col("first.version"))
+    return both.where(later).select("doc_id", "version", "place", F.struct(F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version")).alias("holder"), F.col("first.place").alias("there"))
 
 
 def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
-    """(doc_id, gone): the numbers of the lines to delete, for documents with any."""
-    per = shared_lines(docs).groupBy("doc_id").agg(F.collect_list(F.struct("line", "holder", "there", "n_words")).alias("e"), F.sum("n_words").alias("n")).where(F.col("n") >= least)
+    """(doc_id, version, gone): the numbers of the lines to delete, for documents with any.
+
+    What is collected for a document are its own runs, one holder each.
+    """
+    per = shared_runs(docs, least).groupBy("doc_id", "version").agg(F.collect_list(F.struct("place", "holder", "there")).alias("e"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            ids, gone = [], []
-            for d, e in zip(b["doc_id"].to_pylist(), b["e"].to_pylist()):
-                if g := decide([(x["line"], x["holder"], x["there"], x["n_words"]) for x in e], least):
-                    ids.append(d)
-                    gone.append(g)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "gone"])
-
-    return per.select("doc_id", "e").mapInArrow(run, "doc_id long, gone array<int>")
+            flat = b["e"].flatten()
+            place, there = (flat.field(k).to_numpy() for k in (0, 2))
+            holder = list(zip(*(flat.field(1).field(k).to_numpy().tolist() for k in (0, 1))))
+            line, n, back, once = (place >> 11).tolist(), (place >> 1 & 1023).tolist(), (there >> 11).tolist(), ((there | place) & 1 == 0).tolist()
+            bound = np.concatenate(([0], np.cumsum(b["e"].value_lengths().to_numpy())))
+            gone = [decide([(line[k], n[k], holder[k], back[k], once[k]) for k in range(i, j)]) for i, j in zip(bound, bound[1:])]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["version"], pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
+
+    return per.mapInArrow(run, "doc_id long, version long, gone array<int>")
+
+
+def originals(text: str, places: list[int], raw: np.ndarray) -> list[int]:
+    """Where in text the characters are that begin at these ascending bytes of its lower-cased form."""
+    chars, at = [], 0
+    for k, p in enumerate(places):
+        chars.append((chars[-1] if chars else 0) + int(np.count_nonzero((raw[at:p] & 0xC0) != 0x80)))
+        at = p
+    low = text.lower()
+    if len(low) == len(text):
+        return chars
+    # a few letters get longer when they are lower-cased
+    wide = [k for k, c in enumerate(text) if len(c.lower()) > 1]
+    extra = np.cumsum([0, *(len(text[k].lower()) - 1 for k in wide)])
+    ends = np.array([k + int(e) for k, e in zip(wide, extra[1:])])  # the last character that a wide one turns into
+    out = []
+    for c in chars:
+        m = int(np.searchsorted(ends, c))
+        out.append(min(c - int(extra[m]), wide[m]) if m < len(wide) else c - int(extra[m]))
+    return out
 
 
 def erase(text: str, gone: list[int]) -> tuple[str, int, int, int]:
     """(text without these lines, its number of lines, lines removed, words removed).
 
     The cut goes from the start of a deleted run's first word to that of the
-    next line's first word; a cut at the end goes to the end. Offsets are found
-    in the lower-cased text, which can be longer than the text for a few
-    letters; then they are mapped back letter by letter.
+    next line's first word; a cut at the end goes to the end, and if no line is
+    left nothing is. Whatever is outside of the cuts stays as it was.
     """
     w = words([text])
     first, count, _ = lines(w)
-    gone = [g for g in sorted(gone) if g < len(first)]
-    low = text.lower()
-    back = None
-    if len(low) != len(text):
-        back = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
-    raw = np.frombuffer(w.data, np.uint8)
-    lead = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum((raw & 0xC0) != 0x80, out=lead[1:])
-
-    def at(byte: int) -> int:
-        k = int(lead[byte])
-        return k if back is None else int(back[k]) if k < len(back) else len(text)
-
-    out, pos, k = [], 0, 0
+    gone = [g for g in sorted(set(gone)) if g < len(first)]
+    if not gone or len(gone) == len(first):
+        return ("" if gone else text), len(first), len(gone), int(count[gone].sum()) if gone else 0
+    cuts, k = [], 0
     while k < len(gone):
         j = k
         while j + 1 < len(gone) and gone[j + 1] == gone[j] + 1:
             j += 1
-        out.append(text[pos : at(int(w.start[first[gone[k]]]))])
-        pos = at(int(w.start[first[gone[j] + 1]])) if gone[j] + 1 < len(first) else len(text)
+        cuts += [int(w.start[first[gone[k]]]), int(w.start[first[gone[j] + 1]]) if gone[j] + 1 < len(first) else len(w.raw) - 1]
         k = j + 1
-    out.append(text[pos:])
-    return "".join(out).strip() if gone else text, len(first), len(gone), int(sum(count[g] for g in gone))
+    at = [0, *originals(text, cuts, w.raw), len(text)]
+    return "".join(text[a:b] for a, b in zip(at[::2], at[1::2])), len(first), len(gone), int(count[gone].sum())
 
 
 def joined(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
     """docs with columns c0.. and gone; the place of text."""
-    gone = settle(deletions(docs, least)).withColumnRenamed("doc_id", "gone_id")
+    gone = settle(deletions(docs, least)).toDF("gone_id", "gone_version", "gone")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
-    return plain.join(gone.hint("shuffle_hash"), plain[f"c{docs.columns.index('doc_id')}"] == F.col("gone_id"), "left").drop("gone_id"), docs.columns.index("text")
+    at = docs.columns.index("text")
+    match = (plain[f"c{docs.columns.index('doc_id')}"].cast("long") == F.col("gone_id")) & (F.xxhash64(plain[f"c{at}"]) == F.col("gone_version"))
+    return plain.join(gone.hint("shuffle_hash"), match, "left").drop("gone_id", "gone_version"), at
 
 
 def dedup(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
     """One row a row of docs: doc_id, text without blocks of an earlier document, n_lines_removed, n_words_removed.
 
-    A text of which nothing is left becomes empty; a null text stays null, an
-    empty one empty. Rows with a null doc_id stay as they are. Rows that repeat
-    a doc_id are one document, whose own repeats are left alone. Further
-    columns of docs are left out.
+    A text of which no line is left becomes empty; a null text stays null, an
+    empty one empty. Rows with a null doc_id stay as they are. Rows of one
+    doc_id with other texts are documents of their own, in the order of a hash
+    of the text; rows that repeat id and text are one document, whose own
+    repeats are left alone. Texts of any length are read whole. Further columns
+    of docs are left out; an empty table gives no rows.
     """
     both, _ = joined(pick(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long")), least)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, _BATCH):
             out = [(t, 0, 0, 0) if t is None or not g else erase(t, g) for t, g in zip(b["c1"].to_pylist(), b["gone"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["c0"], pa.array([o[0] for o in out], pa.string()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32())], ["doc_id", "text", "n_lines_removed", "n_words_removed"])
 
@@ -273,14 +307,19 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with the text that is left and, where there is such a column, its n_chars. A document of which nothing is left goes."""
+    """Documents with the text that is left and, where there is such a column, its n_chars.
+
+    A document of which no line is left goes. Nulls and repeated rows as in
+    dedup(): a null doc_id or text stays with all its columns. An empty table
+    gives none.
+    """
     both, at = joined(docs, MIN_BLOCK_WORDS)
     chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     names = both.columns[:-1]
     schema = docs.toDF(*names).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, _BATCH):
             texts, gone = b.column(at).to_pylist(), b["gone"].to_pylist()
             changed = [k for k, g in enumerate(gone) if g and texts[k] is not None]
             cols = list(b.columns)[:-1]
