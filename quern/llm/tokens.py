@@ -1,10 +1,12 @@
 """Token counts: texts are encoded in batches inside of Arrow functions, and only lengths come back.
 
-Long texts are split where a token must end: before white space that follows
-anything else. No alternative of a byte-level pre-tokenizer's pattern spans
-such a place, so the counts of the pieces add up exactly; a text without one
-stays whole. Pieces go into batches of about equal bytes, so that a batch's
-cost doesn't depend on how long its texts are.
+Long texts are split where a pre-token must end: before white space that
+follows anything else, and where letters or digits meet anything but their
+own kind. No alternative of the byte-level pre-tokenizer's pattern spans such
+a place, so the counts of the pieces add up exactly; only an unbroken run of
+letters, digits or signs stays whole. Pieces go into batches of about equal
+bytes, so that a batch's cost doesn't depend on how long its texts are; Arrow
+batches are cut by bytes as well.
 
 The vocabulary file's bytes are broadcast, so executors need no file of their
 own; each Python worker builds the encoder once.
@@ -15,20 +17,20 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import batches, pick, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-PIECE, BATCH = 1 << 15, 1 << 18
-_SAFE = re.compile(r"(?<=\S)(?=\s)")
+PIECE, BATCH, ARROW = 1 << 15, 1 << 18, 16 << 20
+_SAFE = regex.compile(r"(?<=\S)(?=\s)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])")
 SCHEMA = "doc_id long, n_tokens long, n_bytes long"
 
 _built: dict[str, tiktoken.Encoding] = {}
@@ -70,10 +72,10 @@ def balanced(sizes: list[int], most: int = BATCH) -> list[list[int]]:
 def lengths(enc: tiktoken.Encoding, texts: list[str | None]) -> list[int | None]:
     """Tokens of each text; None for None, 0 for an empty text."""
     count: list[int | None] = [None if t is None else 0 for t in texts]
-    parts = [(i, p) for i, t in enumerate(texts) if t for p in pieces(t)]
-    for batch in balanced([len(p) for _, p in parts]):
-        for i, ids in zip((parts[k][0] for k in batch), map(enc.encode_ordinary, (parts[k][1] for k in batch))):
-            count[i] += len(ids)
+    parts = [(i, p, len(p) if p.isascii() else len(p.encode("utf-8", "replace"))) for i, t in enumerate(texts) if t for p in pieces(t)]
+    for batch in balanced([n for _, _, n in parts]):
+        for k, ids in zip(batch, enc.encode_ordinary_batch([parts[k][1] for k in batch], num_threads=1)):
+            count[parts[k][0]] += len(ids)
     return count
 
 
@@ -82,14 +84,14 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     Special tokens' strings count as ordinary text. A null text gives nulls, an
     empty one zeros; repeated rows are each counted; a null doc_id stays null.
-    Further columns of docs are left out; an empty table gives no rows.
+    Texts of any length are counted whole, in pieces. Further columns of docs are left out; an empty table gives no rows.
     """
     with open(vocabulary, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
-        for b in it:
+        for b in batches(it, ARROW):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(lengths(enc, b["text"].to_pylist()), pa.int64()), b["n_bytes"]], ["doc_id", "n_tokens", "n_bytes"])
 
     src = pick(docs, doc_id="doc_id", text="text")
