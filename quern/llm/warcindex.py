@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from .common import pick, settle, table
 
 RANGE_ROWS = 200_000
+MAX_BROADCAST = 64 << 20  # bytes; more ranges are joined by a shuffle
 EPOCH = 1577836800  # 2020-01-01
+DATED = (-62135596800 - EPOCH, 253402300799 - EPOCH)  # page_ids whose date is in the years 1 to 9999
 _URL = r"^[a-z][a-z0-9+.-]*://([^/?#]*)([^#]*)"
 ORDER = ("url_key", "timestamp", "page_id", "url", "digest")
 _ROW = "url_key string, timestamp string, page_id long, url string, digest string, length long"
@@ -119,16 +121,18 @@ def indexed(pages: DataFrame, timestamp: str | None = None, range_rows: int = RA
     timestamp names a column of 14-digit capture times; without one, captures
     are dated by page_id, a second each from 2020 on. digest is the SHA-1 of
     html and length its bytes, null where html is. Nulls come first; a null
-    page_id without a timestamp column has none. Repeated rows are captures of
+    page_id without a timestamp column has none, nor has one that leads out of
+    the years 1 to 9999. URLs and pages of any length are taken whole. Repeated rows are captures of
     their own. Further columns are left out; an empty table gives no rows.
     """
     spark = pages.sparkSession
     src = pick(pages, page_id="page_id", url="url", html="html", **({"at": timestamp} if timestamp else {}))
-    when = F.col("at").cast("string") if timestamp else F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.col("page_id")), "yyyyMMddHHmmss")
+    when = F.col("at").cast("string") if timestamp else F.when(F.col("page_id").between(*DATED), F.date_format(F.timestamp_seconds(F.lit(EPOCH) + F.when(F.col("page_id").between(*DATED), F.col("page_id"))), "yyyyMMddHHmmss"))
     rec = src.select(url_key(F.col("url")).alias("url_key"), when.alias("timestamp"), F.col("page_id").cast("long"), "url", F.sha1(F.col("html").cast("binary")).alias("digest"), F.octet_length("html").cast("long").alias("length"))
     runs = settle(rec.sortWithinPartitions(*ORDER).select("*", F.spark_partition_id().alias("run"), F.monotonically_increasing_id().alias("place")))
     n = max(1, -(-runs.count() // range_rows))
-    ranged = runs.repartitionByRange(n, *ORDER).withColumn("range", F.spark_partition_id())
+    ranged = runs.repartitionByRange(n, *ORDER, "run", "place")  # run and place divide captures that are alike, too
+    ranged = ranged.withColumn("range", F.spark_partition_id())
     merged = settle(ranged.mapInArrow(merge, _ROW + ", range int, rank long, capture long"))
     of_range = merged.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("url_key").alias("low"), F.max_by("url_key", "rank").alias("high"), F.max_by("capture", "rank").alias("held")).orderBy("range")
     rows, start, key, held = [], 0, None, 0
@@ -137,7 +141,9 @@ def indexed(pages: DataFrame, timestamp: str | None = None, range_rows: int = RA
         rows.append((r["range"], start, r["low"], carry))
         held = r["held"] + (carry if r["high"] == r["low"] else 0)
         start, key = start + r["n"], r["high"]
-    info = F.broadcast(spark.createDataFrame(rows, "range int, start long, low string, carry long"))
+    info = spark.createDataFrame(rows, "range int, start long, low string, carry long")
+    if sum(len(r[2] or "") + 40 for r in rows) < MAX_BROADCAST:
+        info = F.broadcast(info)
     return merged.join(info, "range").select((F.col("start") + F.col("rank")).alias("position"), "url_key", "timestamp", (F.col("capture") + F.when(F.col("url_key") == F.col("low"), F.col("carry")).otherwise(0)).alias("capture"), "page_id", "url", "digest", "length")
 
 
@@ -149,6 +155,6 @@ ORACLE = rf"""
     WITH a AS (SELECT page_id, url, html, lower(url) AS low FROM pages),
     b AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(regexp_extract(low, '{_URL}', 1), '^[^@]*@', ''), '^www[0-9]*[.]', ''), ':(80|443)$', '') AS host, regexp_extract(low, '{_URL}', 2) AS path FROM a),
     c AS (SELECT CASE WHEN regexp_matches(low, '{_URL}') THEN array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || CASE WHEN path LIKE '/%' THEN '' ELSE '/' END || path ELSE '-' END AS url_key,
-                 strftime(make_timestamp(({EPOCH} + page_id) * 1000000), '%Y%m%d%H%M%S') AS timestamp, page_id, url, sha1(html) AS digest, octet_length(encode(html)) AS length FROM b)
+                 CASE WHEN page_id BETWEEN {DATED[0]} AND {DATED[1]} THEN strftime(make_timestamp(({EPOCH} + CASE WHEN page_id BETWEEN {DATED[0]} AND {DATED[1]} THEN page_id END) * 1000000), '%Y%m%d%H%M%S') END AS timestamp, page_id, url, sha1(html) AS digest, octet_length(encode(html)) AS length FROM b)
     SELECT row_number() OVER (ORDER BY url_key NULLS FIRST, timestamp NULLS FIRST, page_id NULLS FIRST, url NULLS FIRST, digest NULLS FIRST) - 1 AS position, url_key, timestamp,
            row_number() OVER (PARTITION BY url_key ORDER BY timestamp NULLS FIRST, page_id NULLS FIRST, url NULLS FIRST, digest NULLS FIRST) AS capture, page_id, url, digest, length FROM c"""
