@@ -13,7 +13,8 @@ them; these, and the few rules without a token, are all whose regular
 expressions run.
 
 Rules don't grow with the data. Up to MAX_RULE_CHARS of them are broadcast at
-once; more are divided into shards, applied one after the other.
+once; more are divided into shards, applied one after the other, with the
+same result.
 """
 
 from __future__ import annotations
@@ -100,7 +101,7 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most
     """One row a row of pages: page_id, url, rules (names of all matching ones, sorted, joined by commas), blocked.
 
     blocked: a rule matches and no exception does. A null or empty URL matches
-    nothing and is not blocked. Rules of the same name count as one. Repeated
+    nothing and is not blocked; URLs of any length are matched whole. Rules of the same name count as one. Repeated
     rows are each judged; a null page_id stays null; further columns of pages
     are left out; an empty table gives no rows.
     """
@@ -116,7 +117,7 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most
             held = 0
         shards[-1].append(r)
         held += len(r.regex)
-    out = src.select("page_id", "url", F.lit("").alias("rules"), F.lit(False).alias("hit"), F.lit(False).alias("spared"))
+    out = src.select("page_id", "url", F.array().cast("array<string>").alias("rules"), F.lit(False).alias("hit"), F.lit(False).alias("spared"))
     for shard in shards:
         shared = spark.sparkContext.broadcast(index(shard, counts))
 
@@ -126,7 +127,7 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most
             for b in it:
                 names, hits, spares = [], [], []
                 for url, had, hit, spared in zip(*(b[c].to_pylist() for c in ("url", "rules", "hit", "spared"))):
-                    found = set(had.split(",")) - {""}
+                    found = set(had)
                     if url:
                         low = url.lower()
                         for t in {*TOKEN.findall(low)} & by.keys():
@@ -138,13 +139,13 @@ def apply_rules(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, most
                             if search(low):
                                 found.add(name)
                                 hit, spared = hit or not allow, spared or allow
-                    names.append(",".join(sorted(found)))
+                    names.append(sorted(found))
                     hits.append(hit)
                     spares.append(spared)
-                yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(names, pa.string()), pa.array(hits, pa.bool_()), pa.array(spares, pa.bool_())], ["page_id", "url", "rules", "hit", "spared"])
+                yield pa.RecordBatch.from_arrays([b["page_id"], b["url"], pa.array(names, pa.list_(pa.string())), pa.array(hits, pa.bool_()), pa.array(spares, pa.bool_())], ["page_id", "url", "rules", "hit", "spared"])
 
-        out = out.mapInArrow(run, "page_id long, url string, rules string, hit boolean, spared boolean")
-    return out.select("page_id", "url", "rules", (F.col("hit") & ~F.col("spared")).alias("blocked"))
+        out = out.mapInArrow(run, "page_id long, url string, rules array<string>, hit boolean, spared boolean")
+    return out.select("page_id", "url", F.array_join("rules", ",").alias("rules"), (F.col("hit") & ~F.col("spared")).alias("blocked"))
 
 
 def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
