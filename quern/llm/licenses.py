@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import batches, pick, table
 
 SHARE, LEAST_SAVED, LEVEL, SLACK = 0.8, 6, 9, 8
 #: Words around which licenses are looked for. Also read by Java, so without look-around.
@@ -205,7 +205,7 @@ def scanned(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES) -> DataFr
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = Scanner(shared.value)
         kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.float64(), pa.bool_(), pa.string()]
-        for b in it:
+        for b in batches(it, 16 << 20):
             rows, idx = [], []
             for k, t in enumerate(b["text"].to_pylist()):
                 for r in s.scan(t):

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 import pandas as pd
 
-from .common import chunks, pick, table
+from .common import batches, chunks, pick, table
 from .kernel import U64, mix, windows, words
 
 SHINGLE, BINS, BITS = 5, 128, 8
@@ -106,9 +106,15 @@ def estimate(a: bytes | None, b: bytes | None, bits: int = BITS) -> float | None
 def similarity(a: Column, b: Column, bits: int = BITS) -> Column:
     """estimate() of two fingerprint columns."""
 
+    chance = 2.0**-bits
+
     @pandas_udf("double")
     def est(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([estimate(p, q, bits) for p, q in zip(x, y)], dtype="float64")
+        ok = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        p, q = (np.stack([unpack(v, bits) for v in c[ok]]) if ok.any() else np.zeros((0, 1)) for c in (x, y))
+        out[ok] = np.maximum(0.0, ((p == q).mean(1) - chance) / (1 - chance))
+        return pd.Series(out).where(ok, None)
 
     return est(a, b)
 
@@ -123,7 +129,7 @@ def fingerprinted(docs: DataFrame, shingle: int = SHINGLE, bins: int = BINS, bit
     """
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in batches(it, 16 << 20):
             n, f, p = fingerprints(b["text"].to_pylist(), shingle, bins, bits)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int32()), pa.array(f, pa.int32()), pa.array(p, pa.binary())], ["doc_id", "n_shingles", "n_filled", "fingerprint"])
 

@@ -34,11 +34,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import batches, drop_settled, pick, settle, table
 
 GRAM = 5
 LONGER = (6, 7, 8)
 MIN_TOXIC = 4
+_BATCH = 16 << 20
 PRIMER = bytes([*range(0, 9), 11, 12, *range(14, 23)]) * 2
 _WORD = re.compile(r"\w+")
 
@@ -221,9 +222,17 @@ def fit(texts: list[str], toxic: list[bool], ratio: float = 25.0, least: int = 3
     return model
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000) -> Model:
-    """fit() on labelled documents: at most max_labelled of each class, those of the smallest hash of doc_id."""
-    l = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+def fit_on(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000, max_chars: int = 50_000) -> Model:
+    """fit() on labelled documents, one text each: at most max_labelled of each class, those of the smallest hash of doc_id.
+
+    Labels without a document don't count; of several labels of a document the
+    greatest does, and of its texts the least. Documents of more than
+    max_chars characters aren't learned from, so the driver gets
+    2 * max_labelled * max_chars characters at most; they are scored like all.
+    """
+    l = pick(labels, doc_id="doc_id", toxic="toxic").where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    d = pick(docs, doc_id="doc_id", text="text").where(F.length("text") <= max_chars)
+    l = settle(d.select("doc_id").distinct().join(l, "doc_id"))
     order = F.xxhash64("doc_id")
     size = {r[0]: r[1] for r in l.groupBy("toxic").count().collect()}
     weight = (size.get(0, 0) / max_labelled if size.get(0, 0) > max_labelled else 1.0) / max(1.0, size.get(1, 0) / max_labelled)
@@ -231,8 +240,8 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_labelled: int = 2000) -> Mode
     for k in (1, 0):
         one = l.where(F.col("toxic") == k).orderBy(order, "doc_id").limit(max_labelled)
         some = one if some is None else some.unionByName(one)
-    d = pick(docs, doc_id="doc_id", text="text").where("text is not null")
-    rows = d.join(F.broadcast(some), "doc_id").orderBy(order, "doc_id", "text").select("text", "toxic").toArrow()
+    rows = d.join(F.broadcast(some), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy(order, "doc_id").select("text", "toxic").toArrow()
+    drop_settled(l)
     return fit(rows["text"].to_pylist(), [bool(x) for x in rows["toxic"].to_pylist()], weight=weight)
 
 
@@ -241,7 +250,8 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
 
     A null or empty text, or one without words, has no window: score 0, not
     toxic. Repeated rows are each scored; a null doc_id stays null; further
-    columns of docs are left out. Texts of any length are read whole.
+    columns of docs are left out. Texts of any length are read whole. An empty
+    table gives no rows.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
@@ -249,7 +259,7 @@ def classify(docs: DataFrame, model: Model) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         score = m.scorer()
-        for b in it:
+        for b in batches(it, _BATCH):
             out: list[tuple] = [score(t) for t in b["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b["doc_id"], pa.array([o[2] > 0 and o[0] >= m.threshold for o in out], pa.bool_()), pa.array([o[0] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()), pa.array([o[3] for o in out], pa.int32()), pa.array([o[4].decode("utf-8", "replace") if o[4] else None for o in out], pa.string())],
@@ -265,7 +275,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that aren't toxic, with all their columns; the model is fitted on the labelled ones among docs."""
+    """Documents that aren't toxic, with all their columns; the model is fitted on the labelled ones among docs.
+
+    Null and empty texts stay, with whatever doc_id; each of repeated rows is
+    judged by its own text; an empty table gives none, and without labels
+    nothing is toxic.
+    """
     model = fit_on(docs, table(spark, sf_dir, "labels"))
     shared = spark.sparkContext.broadcast(model)
     at = docs.columns.index("text")
@@ -273,7 +288,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         score = m.scorer()
-        for b in it:
+        for b in batches(it, _BATCH):
             keep = []
             for t in b.column(at).to_pylist():
                 s = score(t)
