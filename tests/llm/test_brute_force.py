@@ -67,9 +67,10 @@ def test_token_counts(spark):
 # --- 2
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("most", [decontam.MAX_CHARS, 500])
+def test_decontamination(spark, most):
     rng = random.Random(3)
-    items = [(k, prose(rng, rng.choice([3, 7, 30]))) for k in range(12)] + [(20, None)]
+    items = [(k, prose(rng, rng.choice([1, 3, 7, 30]))) for k in range(12)] + [(20, None), (None, "alone without id"), (None, "a second one"), (21, "..."), (3, "item three has another text too"), (3, "item three has another text too")]
     texts = []
     for k in range(40):
         t = prose(rng, 60)
@@ -78,23 +79,17 @@ def test_decontamination(spark):
             part = item.split()[:20] if k % 2 else item.split()
             t = t + "\nİ! " + ", ".join(part).upper() + "; " + prose(rng, 10)
         texts.append(t)
-    got = {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    texts.append("Alone, without ID: a second one! Item three has another text, too")
+    rows = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), most=most).collect()
+    got = [(r["doc_id"], r["item_id"], r["start"], r["end"], r["n_words"], r["share"]) for r in rows]
     want = set()
     for d, t in enumerate(texts):
-        spans = [(m.start(), m.end(), m[0].lower()) for m in re.finditer(r"\w+", t)]
-        # the dotted capital i is lower-cased to two characters of which one isn't a letter
-        spans = [s for s in spans if s[2] != "i̇"]
-        w = [s[2] for s in spans]
-        full = decontam.normal(t)
-        w = full
-        pos = [m.span() for m in re.finditer(r"\w+", t)]
-        for k, item in items:
+        w, pos = decontam.normal(t), [m.span() for m in re.finditer(r"\w+", t)]
+        for k, item in set(items):
             x = decontam.normal(item)
             n = min(len(x), decontam.RUN)
-            if len(x) < decontam.MIN_WORDS:
-                continue
             marks = np.zeros(len(w) + 1, bool)
-            for i in range(len(w) - n + 1):
+            for i in range(len(w) - n + 1 if n else 0):
                 if any(w[i : i + n] == x[j : j + n] for j in range(len(x) - n + 1)):
                     marks[i : i + n] = True
             i = 0
@@ -103,12 +98,15 @@ def test_decontamination(spark):
                     j = i
                     while marks[j]:
                         j += 1
-                    want.add((d, k, pos[i][0], pos[j - 1][1]))
+                    want.add((d, k, pos[i][0], pos[j - 1][1], j - i, min(1.0, (j - i) / len(x))))
                     i = j
                 i += 1
-    assert got == want and want
-    split = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), most=500)
-    assert {(r["doc_id"], r["item_id"], r["start"], r["end"]) for r in split.collect()} == want
+    assert set(got) == want and len(got) == len(want) and {None, 3} <= {g[1] for g in got if g[0] == 40}
+
+
+def test_decontamination_of_string_ids(spark):
+    out = decontam.contaminated(frame(spark, ["what is the capital of it"]), spark.createDataFrame([("q-1", "The capital"), ("q-2", "Not here")], "item_id string, text string"))
+    assert [tuple(r) for r in out.collect()] == [(0, "q-1", 8, 19, 2, 1.0)]
 
 
 # --- 3
@@ -161,14 +159,108 @@ def kernel_words(t):
     return re.findall(r"\w+", t.lower())
 
 
+def slow_dedup(docs, least):
+    """Lines (as sets of numbers) that go from each (id, text): every pair, every place, no hashes of runs."""
+
+    def split(t):
+        w = kernel.words([t])
+        first, count, _ = linededup.lines(w)
+        have = [w.data[s:e].decode() for s, e in zip(w.start, w.end)]
+        return [tuple(have[f : f + n]) for f, n in zip(first, count)]
+
+    lines = [split(t) for _, t in docs]
+    order = sorted(set(docs), key=lambda d: (d[0], version(d[1])))
+    first_of = {d: k for k, d in enumerate(docs)}
+    out = {}
+    for n, later in enumerate(order):
+        mine, gone = lines[first_of[later]], set()
+        for earlier in order[:n]:
+            other = lines[first_of[earlier]]
+            for i in range(len(mine)):
+                for j in range(len(other)):
+                    size = k = 0
+                    while size < least and i + k < len(mine) and j + k < len(other) and mine[i + k] == other[j + k]:
+                        size += len(mine[i + k])
+                        k += 1
+                    if size >= least:
+                        gone.update(range(i, i + k))
+            k = size = 0  # what both end with
+            while size < least and k < min(len(mine), len(other)) and mine[-1 - k] == other[-1 - k]:
+                size += len(mine[-1 - k])
+                k += 1
+            if size >= least:
+                gone.update(range(len(mine) - k, len(mine)))
+        out[later] = gone
+    return out
+
+
+version_of = {}
+
+
+def version(text):
+    return version_of[text]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_line_dedup_against_all_pairs(spark, seed):
+    rng = random.Random(100 + seed)
+    parts = [prose(rng, rng.randrange(5, 60)) + rng.choice([".\n", " "]) for _ in range(12)]
+    docs = []
+    for _ in range(40):
+        chosen = [rng.choice(parts) if rng.random() < 0.7 else prose(rng, rng.randrange(1, 40)) + "\n" for _ in range(rng.randrange(1, 7))]
+        if rng.random() < 0.3:
+            chosen += chosen[::-1]
+        docs.append((rng.randrange(30), "".join(chosen)))
+    docs += [docs[3], (docs[3][0], docs[4][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    version_of.update({r[0]: r[1] for r in df.selectExpr("text", "xxhash64(text)").collect()})
+    want = {d: g for d, g in slow_dedup(docs, linededup.MIN_BLOCK_WORDS).items() if g}
+    got = {(r["doc_id"], r["version"]): set(r["gone"]) for r in linededup.deletions(df).collect()}
+    assert got == {(d, version(t)): g for (d, t), g in want.items()} and len(got) > 5
+    # every line stays somewhere
+    left = {w for r in linededup.dedup(df).collect() for w in kernel_words(r["text"])}
+    assert left == {w for _, t in docs for w in kernel_words(t)}
+
+
+def test_line_dedup_repeated_ids(spark):
+    rng = random.Random(17)
+    a, b = prose(rng, 80), prose(rng, 80)
+    rows = [(1, a), (2, a), (2, b), (2, b)]
+    out = sorted((r["doc_id"], r["text"]) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert out == sorted([(1, a), (2, ""), (2, b), (2, b)])
+
+
+def test_alignment():
+    # lines in reverse order, no two adjacent in the earlier document, share no run at all
+    assert linededup.aligned([]) == []
+    # anchors cross: both blocks are found, the second by another turn
+    found = [(i, 10 + i, 3, True) for i in range(4)] + [(i, i - 8, 3, True) for i in range(8, 12)]
+    assert sorted(linededup.aligned(found)) == [[0, 10, 6], [8, 0, 6]]
+    # a run that both have twice is nobody's anchor, and is aligned all the same
+    assert sorted(linededup.aligned([(0, 0, 2, False), (0, 9, 2, False), (5, 0, 2, False), (5, 9, 2, False)]))
+    assert linededup.decide([(4, 2, "h", 0, True), (5, 2, "h", 1, True), (9, 3, "g", 7, True)]) == [4, 5, 6, 9, 10, 11]
+
+
 def test_erase_offsets():
-    t = "İİ first words of one line here. Second line has these other words. Third ones close it all now."
+    t = "\n İİ first words of one line here. Second line has these other words. Third ones close it all now.  "
     w = kernel.words([t])
     first, count, _ = linededup.lines(w)
+    assert len(first) > 2
     for k in range(len(first)):
         out, n, gone, _ = linededup.erase(t, [k])
         assert n == len(first) and gone == 1 and len(kernel.words([out]).hash) == len(w.hash) - count[k]
-    assert linededup.erase(t, list(range(len(first))))[0] == ""
+        assert out.startswith("\n ") and (k + 1 == len(first) or out.endswith("now.  "))
+    assert linededup.erase(t, list(range(len(first))))[0] == "" and linededup.erase(t, [])[0] == t
+
+
+def test_long_texts():
+    """A text of many blocks has the hashes of its parts."""
+    rng = random.Random(18)
+    t = " ".join(prose(rng, 50) for _ in range(9000)) + " " + "x" * (3 * kernel.BLOCK) + " end"
+    w = kernel.words([t])
+    some = t.split()
+    at = [0, 1, 200_000, 449_999, len(some) - 2, len(some) - 1]
+    assert len(w.hash) == len(some) and [int(w.hash[k]) for k in at] == [int(kernel.words([some[k]]).hash[0]) for k in at]
 
 
 # --- 4 and 7
@@ -183,6 +275,9 @@ def test_url_rules(spark):
         hit = [r for r in rules if re.search(r.regex, u.lower())]
         assert out[k]["rules"] == ",".join(sorted(r.name for r in hit))
         assert out[k]["blocked"] == (any(not r.allow for r in hit) and not any(r.allow for r in hit))
+    odd = [("a,b", "/ads/"), ("a", "/login^"), ("", "/fr/")]
+    one, several = ([tuple(r) for r in urlrules.apply_rules(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), odd, most=m).orderBy("page_id").collect()] for m in (10**6, 1))
+    assert one == several and any(r[2] == "a,b" for r in one)
     idx = urlrules.index(rules, {"ads": 5, "login": 1})
     assert sum(map(len, idx.values())) == len(rules)
 
@@ -203,6 +298,14 @@ def test_loser_tree_and_history(spark):
         assert r[3] == n[r[1]]
 
 
+def test_page_ids_of_any_size(spark):
+    ids = [0, 2**63 - 1, -(2**63), 3 * 10**11, 10**18, warcindex.DATED[0], warcindex.DATED[1], warcindex.DATED[1] + 1, None]
+    out = {r["page_id"]: r["timestamp"] for r in warcindex.indexed(spark.createDataFrame([(k, "http://a.b/", "x") for k in ids], "page_id long, url string, html string")).collect()}
+    assert out == {k: None for k in ids} | {0: "20200101000000", warcindex.DATED[0]: "00010101000000", warcindex.DATED[1]: "99991231235959"}
+    same = spark.createDataFrame([(None, None, None)] * 300, "page_id long, url string, html string").repartition(3)
+    assert [r["position"] for r in warcindex.indexed(same, range_rows=50).orderBy("position").collect()] == list(range(300))
+
+
 # --- 5
 
 
@@ -243,22 +346,91 @@ def test_simhash_recall_and_groups(spark):
     sig = np.frombuffer(b"".join(simhash.signatures(texts)), np.uint8).reshape(-1, 32)
     one = np.frombuffer(simhash.signatures([texts[3]])[0], np.uint8)
     assert (one == sig[3]).all()
-    dist = np.bitwise_count(sig[:, None, :] ^ sig[None, :, :]).sum(-1)
-    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if dist[i, j] <= simhash.TAU}
-    seg = simhash.rings(sig)
-    key = (seg.astype(np.int32) + (np.arange(32, dtype=np.int32) << 16)).ravel()
-    idx = np.repeat(np.arange(len(texts)), 32)
-    order = np.argsort(key, kind="stable")
-    got = set()
-    for a, b in simhash.near(key[order], np.ascontiguousarray(sig[idx[order]])):
-        got |= {(min(x, y), max(x, y)) for x, y in zip(idx[order][a].tolist(), idx[order][b].tolist())}
-    assert got <= want and len(got) >= 0.9 * len(want)
+    want = all_near(sig)
+    got = found_near(sig, 4096)
+    assert got <= want and len(got) >= 0.99 * len(want)
     out = {r["doc_id"]: r for r in simhash.groups(frame(spark, texts)).collect()}
     for k in range(120):
         assert out[60 + k]["group_id"] == k % 60 and not out[60 + k]["keep"]
     assert sum(r["keep"] for r in out.values()) == 60
 
 
+def all_near(sig, tau=simhash.TAU):
+    dist = np.bitwise_count(sig[:, None, :] ^ sig[None, :, :]).sum(-1)
+    return {(i, j) for i in range(len(sig)) for j in range(i + 1, len(sig)) if dist[i, j] <= tau}
+
+
+def turned(sig):
+    width, rings = simhash.layout(len(sig))
+    seg = simhash.laid_out(sig, rings)
+    key = simhash.keys(seg, rings, width).ravel()
+    ring = np.stack([np.roll(seg.reshape(len(sig), rings, 16), -k, 2) for k in range(16)], 2).reshape(-1, 16)
+    idx = np.repeat(np.arange(len(sig)), rings * 16)
+    order = np.argsort(key, kind="stable")
+    return key[order], np.ascontiguousarray(ring[order]), idx[order]
+
+
+def found_near(sig, large):
+    key, ring, idx = turned(sig)
+    return {(min(x, y), max(x, y)) for i, j in simhash.near(key, ring, large=large) for x, y in zip(idx[i].tolist(), idx[j].tolist())}
+
+
+@pytest.mark.parametrize("d, least", [(0, 1), (5, 1), (10, 1), (15, 1), (20, 0.999), (25, 0.999), (30, 0.995), (35, 0.99), (38, 0.97), (40, 0.96)])
+def test_simhash_recall_by_distance(d, least):
+    rng = np.random.default_rng(d)
+    n = 1000
+    sig = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    flip = np.zeros((n, 256), np.uint8)
+    for row in flip:
+        row[rng.permutation(256)[:d]] = 1
+    both = np.concatenate((sig, sig ^ np.packbits(flip, axis=1)))
+    got = found_near(both, 4096)
+    assert sum((k, k + n) in got for k in range(n)) >= least * n
+
+
+def test_simhash_layout():
+    """Buckets don't grow with the table, and recall doesn't fall."""
+    for n in (10, 10**5, 10**7, 10**9, 5 * 10**10):
+        width, rings = simhash.layout(n)
+        assert n / 2**width <= simhash.BUCKET and 1 - (1 - simhash.hit_rate(width)) ** (16 * rings) >= simhash.RECALL
+    # the rate, by trying it out
+    rng = np.random.default_rng(1)
+    hits = 0
+    for _ in range(40_000):
+        bits = np.zeros(256, int)
+        bits[rng.permutation(256)[: simhash.TAU]] = 1
+        s = bits.reshape(16, 16).sum(1)
+        hits += s[0] == 0 and all(s[:l].sum() * 16 <= l * simhash.TAU for l in (2, 3, 4))
+    assert abs(hits / 40_000 - simhash.hit_rate(16)) < 0.006
+
+
+def test_simhash_large_and_hot_buckets(spark):
+    """Leaders, and tiles of hot keys, link what all pairs link."""
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 256, (3, 32), dtype=np.uint8)
+    rows = []
+    for k in range(240):
+        b = np.unpackbits(base[k % 3])
+        b[16:][rng.permutation(240)[: rng.integers(0, 40)]] ^= 1
+        rows.append(np.packbits(b))
+    sig = np.unique(np.array(rows), axis=0)
+    dist = np.bitwise_count(sig[:, None, :] ^ sig[None, :, :]).sum(-1)
+
+    def roots(pairs):
+        x, y = simhash.forest(*(np.array([p[k] for p in pairs], np.int64) for k in (0, 1)))
+        return dict(zip(x.tolist(), y.tolist()))
+
+    seg = np.ascontiguousarray(sig.view(">u2").astype(np.uint16))
+    same = np.all(sig[:, None, :2] == sig[None, :, :2], axis=2)
+    want = roots([(i, j) for i in range(len(sig)) for j in range(i) if dist[i, j] <= simhash.TAU and same[i, j]])
+    for _, rows_ in {tuple(s[:2]): [k for k in range(len(sig)) if (sig[k, :2] == s[:2]).all()] for s in sig}.items():
+        got = roots([(rows_[a], rows_[b]) for i, j in simhash.led(seg[rows_], simhash.TAU) for a, b in zip(i.tolist(), j.tolist())])
+        assert got == {k: v for k, v in want.items() if k in rows_}
+    df = spark.createDataFrame([(k, bytes(s)) for k, s in enumerate(sig)], "doc_id long, sig binary").repartition(3)
+    plain, tiled = ({tuple(r) for r in simhash.components(simhash.edges(df, hot=h)).collect()} for h in (10**6, 20))
+    assert plain == tiled == set(roots(all_near(sig)).items())
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
@@ -377,6 +549,30 @@ def test_packing(spark):
     assert all(full[r["bin_id"]] == r["bin_size"] <= 2000 for r in rows)
 
 
+def test_packing_alike_rows(spark, monkeypatch):
+    """Rows that are alike are packed each, in whichever group; sizes add up on both sides of every limit."""
+    monkeypatch.setattr(packing, "COPIES", 7)
+    rows = [(1, "ab")] * 50 + [(None, "xyz")] * 20 + [(k, "q" * (k % 9)) for k in range(60)]
+    for group_items in (10, 10_000):
+        out = packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), 10, group_items=group_items).collect()
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["size"]) for r in out)
+        assert got == sorted((-1 if d is None else d, len(t)) for d, t in rows if t)
+        full = {}
+        for r in out:
+            full[r["bin_id"]] = full.get(r["bin_id"], 0) + r["size"]
+        assert all(full[r["bin_id"]] == r["bin_size"] <= 10 for r in out)
+    big = packing.packed(spark.createDataFrame([(1, 3_000_000_000), (2, 5)], "doc_id long, z long"), 1 << 24, "z").collect()
+    assert sum(r["size"] for r in big) == 3_000_000_005 and max(r["start"] for r in big if r["doc_id"] == 1) == 3_000_000_000 // (1 << 24) * (1 << 24)
+
+
+def test_packing_stage(spark):
+    rows = [(1, "ab", "e", "s"), (1, "ab", "e", "s"), (1, "abc", "e", "s"), (None, "xyz", None, "s"), (None, "xyz", None, None), (2, None, "e", "s"), (3, "", "e", "s"), (4, "q" * 10_000 + "z" * 10_000, "e", "s")]
+    out = packing.stage(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), "").collect()
+    pieces = sorted(((r["doc_id"], r["start"], r["text"], r["lang"], r["source"]) for r in out), key=str)
+    want = [r[:1] + (0,) + r[1:] for r in rows[:5]] + [(4, k, rows[7][1][k : k + 8192], "e", "s") for k in (0, 8192, 16384)]
+    assert pieces == sorted(want, key=str) and all(r["size"] == len(r["text"]) for r in out)
+
+
 def slow_pack(sizes, cap):
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     large, small = [i for i in order if 3 * sizes[i] > cap], [i for i in order if 3 * sizes[i] <= cap]
