@@ -16,7 +16,8 @@ run that ends with the text): documents have a block of that many words in
 common if and only if they share such a hash. Two documents that don't copy hardly ever do, so the hashes are rare by their
 length; a limit of documents a hash would lose the passages that many have.
 
-Pairs. Documents come in the order of doc_id, then of a hash of the text.
+Pairs. Documents come in the order of doc_id, then of a 32-bit hash of the
+text, by which rows of one doc_id with other texts are told apart.
 Each hash has a first holder, the earliest document with it; a later document
 is paired with the first holders of its hashes. So a hash in n documents
 gives n - 1 links, not n**2, and needs no cap.
@@ -192,7 +193,7 @@ def run_rows(docs: DataFrame, least: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b["doc_id"].take(take), b["version"].take(take), pa.array(place)], ["hash", "doc_id", "version", "place"])
 
     src = pick(docs, doc_id="doc_id", text="text").where("doc_id is not null and text is not null")
-    return src.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text").mapInArrow(run, "hash long, doc_id long, version long, place long")
+    return src.select(F.col("doc_id").cast("long"), F.hash("text").alias("version"), "text").mapInArrow(run, "hash long, doc_id long, version int, place long")
 
 
 def shared_runs(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
@@ -227,7 +228,7 @@ def deletions(docs: DataFrame, least: int = MIN_BLOCK_WORDS) -> DataFrame:
             gone = [decide([(line[k], n[k], holder[k], back[k], once[k]) for k in range(i, j)]) for i, j in zip(bound, bound[1:])]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["version"], pa.array(gone, pa.list_(pa.int32()))], ["doc_id", "version", "gone"])
 
-    return per.mapInArrow(run, "doc_id long, version long, gone array<int>")
+    return per.mapInArrow(run, "doc_id long, version int, gone array<int>")
 
 
 def originals(text: str, places: list[int], raw: np.ndarray) -> list[int]:
@@ -278,7 +279,7 @@ def joined(docs: DataFrame, least: int) -> tuple[DataFrame, int]:
     gone = settle(deletions(docs, least)).toDF("gone_id", "gone_version", "gone")
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     at = docs.columns.index("text")
-    match = (plain[f"c{docs.columns.index('doc_id')}"].cast("long") == F.col("gone_id")) & (F.xxhash64(plain[f"c{at}"]) == F.col("gone_version"))
+    match = (plain[f"c{docs.columns.index('doc_id')}"].cast("long") == F.col("gone_id")) & (F.hash(plain[f"c{at}"]) == F.col("gone_version"))
     return plain.join(gone.hint("shuffle_hash"), match, "left").drop("gone_id", "gone_version"), at
 
 
