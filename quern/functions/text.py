@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 #: What Python's str.isspace() holds for, inside of a character class.
 WS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: The same but for what ends a line, and any character outside of it.
+WS_INLINE = r"\t\x1f\x20\xa0\u1680\u2000-\u200a\u202f\u205f\u3000"
+VISIBLE = f"[^{WS}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 SENTENCE_END = r"[.!?]+[\"')\]]*\s+[\p{Lu}\p{N}]"
@@ -49,6 +52,17 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0))
 
 
+def n_matches(c: Column, pattern: str) -> Column:
+    """Number of matches: each is replaced by one mark, and marks are counted, so that no array of strings is made."""
+    marked = F.regexp_replace(F.translate(c, "\u0001", " "), pattern, "\u0001")
+    return F.length(marked) - F.length(F.translate(marked, "\u0001", ""))
+
+
+def n_tokens(c: Column) -> Column:
+    """size(tokens(c)): each run of word characters becomes one, and what isn't space counts by itself."""
+    return F.length(F.regexp_replace(F.regexp_replace(c, r"[\p{L}\p{N}_]+", "a"), r"\s+", ""))
+
+
 def n_sentences(c: Column) -> Column:
     """Sentence ends that a capital or digit follows, and one more; 0 where there is nothing to read."""
     return F.when(F.length(strip(c)) == 0, 0).otherwise(F.size(F.regexp_extract_all(c, F.lit(SENTENCE_END), F.lit(0))) + 1)

@@ -18,6 +18,14 @@ class TextGenerator(Protocol):
     def generate(self, prompts: Sequence[str], max_tokens: int, temperature: float) -> Sequence[str]: ...
 
 
+class Tokenizer(Protocol):
+    """Of a translation model; built once per Python worker."""
+
+    def encode(self, text: str) -> Sequence: ...
+
+    def decode(self, tokens: Sequence) -> str: ...
+
+
 class Echo:
     """The offline stand-in: gives each prompt back."""
 
@@ -108,22 +116,25 @@ def affixes(model_name: str, src: str = "English", dst: str = "Dutch") -> tuple[
     raise ValueError(f"no prompt for model {model_name}")
 
 
-def translation_chunks(df: DataFrame, chunk_size: int = 1024, text: str = "text", id_col: str = "doc_id", mode: str = "characters", stop_at: int | None = None, batched_engine: bool = False) -> DataFrame:
+def translation_chunks(df: DataFrame, chunk_size: int = 1024, text: str = "text", id_col: str = "doc_id", mode: str = "characters", stop_at: int | None = None, batched_engine: bool = False, tokenizer: Callable[[], Tokenizer] | None = None) -> DataFrame:
     """A row for each chunk of chunk_size characters: row_splitter_id, row_splitter_pos, chunk_id "[start:end]", text.
 
-    Line breaks become spaces first. stop_at limits the documents. Chunks by
-    tokens need a tokenizing engine and are refused for a batched one.
+    Line breaks become spaces first. stop_at limits the documents. With mode
+    tokens, chunks have chunk_size tokens of tokenizer, and chunk ids count
+    tokens; an engine that tokenizes batches by itself can't have them.
     """
     if mode not in ("characters", "tokens"):
         raise ValueError("mode must be characters or tokens")
-    if mode == "tokens":
-        raise NotImplementedError("a batched engine can't chunk by tokens" if batched_engine else "chunks by tokens need a tokenizer plugin")
+    if mode == "tokens" and (batched_engine or tokenizer is None):
+        raise NotImplementedError("a batched engine can't chunk by tokens" if batched_engine else "chunks by tokens need a tokenizer")
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least one")
     if stop_at is not None:
         df = df.limit(stop_at)
     flat = F.replace(F.col(text), F.lit("\n"), F.lit(" "))
     keyed = df.withColumn("row_splitter_id", F.sha1(F.concat_ws("\u0001", F.col(id_col).cast("string"), F.col(text)))).withColumn(text, flat)
+    if mode == "tokens":
+        return _token_chunks(keyed, chunk_size, text, tokenizer)
     n = F.length(text)
     starts = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk_size).cast("int")), lambda i: i * chunk_size)).otherwise(F.array().cast("array<int>"))
     others = [c for c in keyed.columns if c != text]
@@ -132,6 +143,26 @@ def translation_chunks(df: DataFrame, chunk_size: int = 1024, text: str = "text"
     return rows.select(*others, "row_splitter_pos", F.concat(F.lit("["), F.col("__s").cast("string"), F.lit(":"), end.cast("string"), F.lit("]")).alias("chunk_id"), F.substring("__t", F.col("__s") + 1, F.lit(chunk_size)).alias(text))
 
 
+def _token_chunks(keyed: DataFrame, size: int, text: str, make: Callable[[], Tokenizer]) -> DataFrame:
+    others = [c for c in keyed.columns if c != text]
+    schema = keyed.select(*others, F.lit(0).alias("row_splitter_pos"), F.lit("").alias("chunk_id"), text).schema
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = make()
+        for b in it:
+            rows: list[tuple[int, int, str, str]] = []
+            for k, t in enumerate(b[text].to_pylist()):
+                tokens = coder.encode(t) if t else []
+                for i, s in enumerate(range(0, len(tokens), size)):
+                    part = tokens[s : s + size]
+                    rows.append((k, i, f"[{s}:{s + len(part)}]", coder.decode(part)))
+            at, pos, ids, texts = zip(*rows) if rows else ([], [], [], [])
+            cols = [b[c].take(pa.array(at, pa.int64())) for c in others]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(pos, pa.int32()), pa.array(ids, pa.string()), pa.array(texts, pa.string())], [*others, "row_splitter_pos", "chunk_id", text])
+
+    return keyed.mapInArrow(run, schema)
+
+
 def translate(df: DataFrame, model_name: str, make: Callable[[], TextGenerator] | None = None, text: str = "text", batch_size: int = 128, src: str = "English", dst: str = "Dutch", dry_run: bool = False) -> DataFrame:
     """Chunks with translated text; empty translations go. A dry run gives the source back and loads no model."""
     if dry_run or make is None:

@@ -54,7 +54,7 @@ class FineWebQuality(Filter):
 
     def prepare(self, df: DataFrame) -> DataFrame:
         t = F.col(self.text)
-        return df.withColumn("__lines", F.split(t, "\n", -1)).withColumn("__full", F.filter("__lines", lambda x: F.length(T.strip(x)) > 0)).withColumn("__tok", F.size(self.tokens(t)))
+        return df.withColumn("__lines", F.split(t, "\n", -1)).withColumn("__full", F.filter("__lines", lambda x: x.rlike(T.VISIBLE))).withColumn("__tok", self.n_tokens(t))
 
     def stats(self) -> Column:
         t, lines = F.col(self.text), F.col("__lines")
@@ -89,14 +89,14 @@ class GopherQuality(Filter):
     stop_words: Sequence[str] | Mapping[str, Sequence[str]] | None = None
     name = "gopher_quality"
 
-    def stop_list(self) -> Column:
+    def stop_lists(self) -> tuple[dict[str, Sequence[str]], Sequence[str]]:
+        """Lists by language, and that of all other languages."""
         if isinstance(self.stop_words, Mapping):
-            lists = {k: F.array(*map(F.lit, v)) for k, v in self.stop_words.items()}
-        elif self.stop_words is not None:
-            return F.array(*map(F.lit, self.stop_words)).cast("array<string>")
-        else:
-            lists = {k: F.array(*map(F.lit, T.stop_words(k))) for k in T.LANGUAGES}
-        return T.by_language(F.col(self.lang), lists, lists.get(T.FALLBACK, F.array().cast("array<string>")))
+            return dict(self.stop_words), self.stop_words.get(T.FALLBACK, ())
+        if self.stop_words is not None:
+            return {}, self.stop_words
+        lists = {k: T.stop_words(k) for k in T.LANGUAGES}
+        return lists, lists[T.FALLBACK]
 
     def prepare(self, df: DataFrame) -> DataFrame:
         return df.withColumn("__tok", self.tokens(F.col(self.text))).withColumn("__words", F.filter("__tok", lambda x: ~x.rlike(f"^{T.PUNCTUATION}+$"))).withColumn("__lines", T.split_lines(F.col(self.text)))
@@ -111,14 +111,15 @@ class GopherQuality(Filter):
             T.ratio(T.count_of(t, "...") + T.count_of(t, "…"), n).alias("ellipsis_ratio"),
             T.ratio(F.size(F.filter(lines, lambda x: x.rlike(f"^[{T.WS}]*[•-]"))), F.size(lines)).alias("bullet_lines_ratio"),
             T.ratio(F.size(F.filter(lines, lambda x: x.rlike(f"([.][.][.]|…)[{T.WS}]*$"))), F.size(lines)).alias("ellipsis_lines_ratio"),
-            T.ratio(F.size(F.filter(tok, lambda x: x.rlike(r"\p{L}"))), n).alias("alpha_words_ratio"),
+            T.ratio(F.size(F.filter(tok, lambda x: x.rlike(r"\p{L}"))) if self.tokenizer != "unicode" else T.n_matches(t, r"[\p{N}_]*\p{L}[\p{L}\p{N}_]*"), n).alias("alpha_words_ratio"),
             self.n_stop(tok).alias("stop_words_count"),
         )
 
     def n_stop(self, tok: Column) -> Column:
-        """Occurrences of stop words. The list is looked up by language outside of the lambda."""
-        stop = self.stop_list()
-        return F.aggregate(F.transform(tok, lambda x: F.array_contains(stop, x).cast("int")), F.lit(0), lambda a, b: a + b)
+        """Occurrences of stop words. The language is looked up once a text, a word in a set."""
+        count = lambda ws: F.size(F.filter(tok, lambda x: x.isin(*ws))) if ws else F.when(tok.isNotNull(), 0)
+        lists, rest = self.stop_lists()
+        return T.by_language(F.col(self.lang), {k: count(ws) for k, ws in lists.items()}, count(rest))
 
     def rules(self, s: Column) -> list[tuple[Column | None, str]]:
         return [
@@ -130,19 +131,19 @@ class GopherQuality(Filter):
         ]
 
 
-def gram_chars(words: Sequence[str], tops: Sequence[int], dups: Sequence[int]) -> list[int]:
+def gram_chars(word: np.ndarray, size: np.ndarray, tops: Sequence[int], dups: Sequence[int]) -> list[int]:
     """For each n of tops, the length of the most frequent n-gram (words joined by spaces; of equally frequent ones the first) times its count.
 
     Then for each n of dups, the characters in n-grams seen before, scanning
-    from the left and skipping over each repeat. N-grams are compared by
-    64-bit hashes of word numbers.
+    from the left and skipping over each repeat. word: 64-bit hashes of the
+    words, size: their lengths; n-grams are compared by hashes of these.
     """
-    ids: dict[str, int] = {}
-    word = np.array([ids.setdefault(w, len(ids)) + 1 for w in words], np.uint64)
-    pre = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+    word = np.asarray(word).view(np.uint64)
+    pre = np.zeros(len(word) + 1, np.int64)
+    np.cumsum(size, out=pre[1:])
     out = []
     for n in (*tops, *dups):
-        m = len(words) - n + 1
+        m = len(word) - n + 1
         if m < 1:
             out.append(0)
             continue
@@ -151,20 +152,25 @@ def gram_chars(words: Sequence[str], tops: Sequence[int], dups: Sequence[int]) -
             for k in range(n):
                 h = (h ^ word[k : k + m]) * np.uint64(0x9E3779B97F4A7C15)
                 h ^= h >> np.uint64(29)
-        _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(h, kind="stable")
+        new = np.concatenate(([True], h[order][1:] != h[order][:-1]))
+        begin = np.flatnonzero(new)
+        count = np.diff(np.concatenate((begin, [m])))
         if len(out) < len(tops):
-            best = int(first[count == count.max()].min())
+            best = int(order[begin[count == count.max()]].min())
             out.append(int((pre[best + n] - pre[best] + n - 1) * count.max()))
             continue
         chars = i = 0
-        if len(first) < m:
+        if len(begin) < m:
             # only a gram that occurs again can be seen before: go from one of these to the next
-            again = np.flatnonzero(count[inverse] > 1)
+            gram = np.cumsum(new) - 1
+            twice = count[gram] > 1
+            at = order[twice]
+            by_place = np.argsort(at)
             seen: set[int] = set()
-            for k in again.tolist():
+            for k, g in zip(at[by_place].tolist(), gram[twice][by_place].tolist()):
                 if k < i:
                     continue
-                g = int(inverse[k])
                 if g in seen:
                     chars += int(pre[k + n] - pre[k])
                     i = k + n
@@ -189,10 +195,12 @@ class GopherRepetition(Filter):
         tops, dups = [n for n, _ in self.top_n_grams], [n for n, _ in self.dup_n_grams]
 
         @pandas_udf("array<long>")
-        def grams(words: pd.Series) -> pd.Series:
-            return pd.Series([None if w is None else gram_chars(list(w), tops, dups) for w in words])
+        def grams(words: pd.Series, sizes: pd.Series) -> pd.Series:
+            return pd.Series([None if w is None else gram_chars(w, n, tops, dups) for w, n in zip(words, sizes)])
 
-        return df.withColumn("__paras", F.split(T.strip(t), "\n{2,}", -1)).withColumn("__lines", F.split(t, "\n+", -1)).withColumn("__grams", grams(self.tokens(t)))
+        tok = self.tokens(t)
+        hashed, sizes = F.transform(tok, lambda x: F.xxhash64(x)), F.transform(tok, lambda x: F.length(x))
+        return df.withColumn("__paras", F.split(T.strip(t), "\n{2,}", -1)).withColumn("__lines", F.split(t, "\n+", -1)).withColumn("__grams", grams(hashed, sizes))
 
     def stats(self) -> Column:
         n = F.length(self.text)
@@ -228,9 +236,14 @@ class NordicPileQuality(Filter):
     name = "nordicpile"
 
     def prepare(self, df: DataFrame) -> DataFrame:
-        bare = lambda c: F.regexp_replace(c, f"[{T.WS}]+", "")
-        full = F.filter(T.split_lines(F.col("__text")), lambda x: F.length(T.strip(x)) > 0)
-        return df.withColumn("__text", T.strip(F.col(self.text))).withColumn("__lines", full).withColumn("__chars", F.transform("__lines", lambda x: F.length(bare(x)))).withColumn("__words", F.transform("__lines", lambda x: F.size(T.tokens(x))))
+        # white space within lines goes before the text is divided, and words shrink to one character each
+        t = F.col("__text")
+        bare = T.split_lines(F.regexp_replace(t, f"[{T.WS_INLINE}]+", ""))
+        out = df.withColumn("__text", T.strip(F.col(self.text))).withColumn("__chars", F.filter(T.lengths(bare), lambda n: n > 0))
+        if self.tokenizer == "unicode":
+            short = F.filter(T.split_lines(F.regexp_replace(t, r"[\p{L}\p{N}_]+", "a")), lambda x: x.rlike(T.VISIBLE))
+            return out.withColumn("__words", F.transform(short, lambda x: F.length(F.regexp_replace(x, r"\s+", ""))))
+        return out.withColumn("__words", F.transform(F.filter(T.split_lines(t), lambda x: x.rlike(T.VISIBLE)), lambda x: F.size(self.tokens(x))))
 
     def stats(self) -> Column:
         t = F.col("__text")
@@ -270,13 +283,14 @@ class C4Quality(Filter):
 
     def status(self, line: Column) -> Column:
         """Why a line goes, or kept."""
-        low, words = F.lower(line), T.ws_words(line)
+        low = F.lower(line)
         rules: list[tuple[Column, str]] = []
         if self.max_word_length != -1:
-            rules.append((F.exists(words, lambda w: F.length(w) > self.max_word_length), "too_long_word"))
+            rules.append(((F.length(line) > self.max_word_length) & line.rlike(f"[^{T.WS}]{{{self.max_word_length + 1}}}"), "too_long_word"))
         if self.filter_no_terminal_punct:
             rules.append((~line.rlike("[.?!\"']$") | line.endswith("..."), "no_terminal_punc"))
-        rules.append((F.size(words) < self.min_words_per_line, "too_few_words"))
+        if self.min_words_per_line > 0:
+            rules.append((~line.rlike(f"^[{T.WS}]*(?:[^{T.WS}]++[{T.WS}]*){{{self.min_words_per_line}}}"), "too_few_words"))
         if self.filter_javascript:
             rules.append((low.contains("javascript"), "javascript"))
         if self.filter_policy:

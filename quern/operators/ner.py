@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
@@ -230,10 +231,11 @@ class PiiClient(Protocol):
     def process(self, chunk: str, entity_types: Sequence[str], mode: str) -> list[Entity]: ...
 
 
-def remote(df: DataFrame, connect: Callable[[int], PiiClient], text: str = "text", id_col: str = "doc_id", entity_types: Sequence[str] = GDPR, mode: str = "MASK", chunk_chars: int = 5000, attempts: int = 5, keep: Sequence[str] = (), endpoints: int = 1) -> DataFrame:
+def remote(df: DataFrame, connect: Callable[[int], PiiClient], text: str = "text", id_col: str = "doc_id", entity_types: Sequence[str] = GDPR, mode: str = "MASK", chunk_chars: int = 5000, attempts: int = 5, wait: float = 10.0, keep: Sequence[str] = (), endpoints: int = 1) -> DataFrame:
     """Text masked by a remote service, with failed_chunks: chunks that kept their text because every attempt failed.
 
-    connect gets an endpoint's number and gives a client, once a partition;
+    connect gets an endpoint's number and gives a client, once a partition; one
+    whose alive() says no is passed over. Attempts are wait seconds apart;
     names in keep stay as they are. Within a document, the same text of an
     entity is always replaced alike: by [LABEL], or in mode SYNTHETIC by what
     the service gives as mask. Chunks come in order.
@@ -245,14 +247,21 @@ def remote(df: DataFrame, connect: Callable[[int], PiiClient], text: str = "text
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        client = connect((ctx.partitionId() if ctx else 0) % max(1, endpoints))
+        first = ctx.partitionId() if ctx else 0
+        # the partition's own endpoint, or the next one that answers
+        for k in range(max(1, endpoints)):
+            client = connect((first + k) % max(1, endpoints))
+            if getattr(client, "alive", lambda: True)():
+                break
         for b in it:
             texts, failed = b[text].to_pylist(), []
             for k, t in enumerate(texts):
                 bad, out, known = [], [], {}
                 for n, c in enumerate(split_chunks(t, chunk_chars) if t else []):
                     found = None
-                    for _ in range(attempts):
+                    for turn in range(attempts):
+                        if turn and wait:
+                            time.sleep(wait)
                         try:
                             found = client.process(c, entity_types, mode)
                             break

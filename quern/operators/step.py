@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
+from ..functions.text import n_tokens, tokens
 from ..functions.treebank import treebank_tokens
 
 
@@ -32,6 +32,9 @@ class Filter:
             raise ValueError("tokenizer must be unicode or treebank")
         return treebank_tokens(c) if self.tokenizer == "treebank" else tokens(c)
 
+    def n_tokens(self, c: Column) -> Column:
+        return n_tokens(c) if self.tokenizer == "unicode" else F.size(self.tokens(c))
+
     def prepare(self, df: DataFrame) -> DataFrame:
         """Arrays that several statistics need, as columns whose names start with __."""
         return df
@@ -42,6 +45,17 @@ class Filter:
     def rules(self, s: Column) -> list[tuple[Column | None, str]]:
         raise NotImplementedError
 
+    def held(self, df: DataFrame) -> DataFrame:
+        """df with the statistics, computed once a row.
+
+        A generator stands between them and what uses them: the optimizer
+        would otherwise write them out again for each use, and for a filter on
+        the reason below the projection.
+        """
+        out = self.prepare(df)
+        keep = [c for c in out.columns if not c.startswith("__")]
+        return out.select(*keep, F.explode(F.array(self.stats())).alias(self.name))
+
     @property
     def reason(self) -> str:
         return f"{self.name}_reason"
@@ -49,10 +63,10 @@ class Filter:
     def annotate(self, df: DataFrame) -> DataFrame:
         out = df
         if self.name not in df.columns:
-            out = self.prepare(df).withColumn(self.name, self.stats())
+            out = self.held(df)
         whens = [F.when(cond, F.lit(why)) for cond, why in self.rules(F.col(self.name)) if cond is not None] if self.do_filter else []
         out = out.withColumn(self.reason, F.coalesce(*whens, F.lit(None).cast("string")) if whens else F.lit(None).cast("string"))
-        return out.drop(*(c for c in out.columns if c.startswith("__")))
+        return out
 
     def apply(self, df: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(kept with the columns of df, excluded with them and drop_reason)."""

@@ -144,13 +144,35 @@ def gopher_rep_top_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     return a.select("doc_id", F.explode(F.col("gopher_repetition")["top_n_grams"]).alias("n", "f")).select("doc_id", "n", r6(F.col("f")).alias("frac"))
 
 
-@query()
+#: Positions whose n-gram recurs, in order; a scan from the left skips over each one that it has seen before.
+_DUP_GRAMS = f"""dt AS (SELECT doc_id, length(text) AS size, {_TOK} AS w FROM documents), dk AS (SELECT unnest([5, 6, 7, 8, 9, 10]) AS n),
+    dg AS (SELECT doc_id, n, i, hash(w[i:i + n - 1]) AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dt, dk)),
+    dr AS (SELECT *, count(*) OVER (PARTITION BY doc_id, n, g) AS c FROM dg),
+    da AS (SELECT doc_id, n, list({{'i': i, 'g': g, 'size': length(array_to_string(w[i:i + n - 1], ''))}} ORDER BY i) AS x FROM dr JOIN dt USING (doc_id) WHERE c > 1 GROUP BY ALL),
+    db AS (SELECT doc_id, n, list_reduce(x, lambda a, p: CASE WHEN p.i < a.next THEN a WHEN list_contains(a.seen, p.g) THEN {{'next': p.i + n, 'chars': a.chars + p.size, 'seen': a.seen}}
+      ELSE {{'next': a.next, 'chars': a.chars, 'seen': list_append(a.seen, p.g)}} END, {{'next': 0::BIGINT, 'chars': 0::BIGINT, 'seen': []::UBIGINT[]}}).chars AS chars FROM da),
+    df AS (SELECT d.doc_id, dk.n, CASE WHEN size = 0 THEN 0 ELSE coalesce(chars, 0)::DOUBLE / size END AS frac FROM dt d CROSS JOIN dk LEFT JOIN db ON db.doc_id = d.doc_id AND db.n = dk.n)"""
+
+
+@query(f"WITH {_DUP_GRAMS} SELECT doc_id, n, round(frac, 6) AS frac FROM df")
 def gopher_rep_dup_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     a = filters.GopherRepetition().annotate(docs(spark, sf))
     return a.select("doc_id", F.explode(F.col("gopher_repetition")["dup_n_grams"]).alias("n", "f")).select("doc_id", "n", r6(F.col("f")).alias("frac"))
 
 
-@query()
+_REP_RULES = [
+    ("pf > 0.35", "dup_para_frac"), ("pc > 0.2", "dup_para_char_frac"), ("lf > 0.35", "dup_line_frac"), ("lc > 0.2", "dup_line_char_frac"), *((f"t{n} > {x}", f"top_{n}_gram") for n, x in ((2, 0.25), (3, 0.23), (4, 0.21))),
+    *((f"d{n} > {x}", f"duplicated_{n}_n_grams") for n, x in ((5, 0.20), (6, 0.19), (7, 0.18), (8, 0.17), (9, 0.16), (10, 0.15))),
+]
+
+
+@query(
+    f"""WITH {_DUP_GRAMS}, line AS ({SQL["gopher_rep_line_dups"]}), para AS ({SQL["gopher_rep_para_dups"]}), top AS ({SQL["gopher_rep_top_ngrams"]}),
+    s AS (SELECT documents.doc_id, any_value(dup_para_frac) AS pf, any_value(dup_para_char_frac) AS pc, any_value(dup_line_frac) AS lf, any_value(dup_line_char_frac) AS lc,
+      {", ".join(f"max(top.frac) FILTER (top.n = {n}) AS t{n}" for n in (2, 3, 4))}, {", ".join(f"max(df.frac) FILTER (df.n = {n}) AS d{n}" for n in range(5, 11))}
+      FROM documents LEFT JOIN para USING (doc_id) LEFT JOIN line USING (doc_id) LEFT JOIN top ON top.doc_id = documents.doc_id LEFT JOIN df ON df.doc_id = documents.doc_id GROUP BY ALL)
+    SELECT doc_id, {_case(_REP_RULES)} AS reason FROM s"""
+)
 def gopher_rep_reasons(spark: SparkSession, sf: str) -> DataFrame:
     return reasons(filters.GopherRepetition(), docs(spark, sf))
 
@@ -322,7 +344,7 @@ def pii_counts_all_types(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _type_counts(spark: SparkSession, sf: str, specs: list[pii.Spec]) -> DataFrame:
-    t = texts(spark, sf).select(*(pii.mask_text(F.col("text"), s)["count"].alias(s.name) for s in specs))
+    t = texts(spark, sf).select(*(pii.count_matches(F.col("text"), s).alias(s.name) for s in specs))
     sums = t.agg(*(F.coalesce(F.sum(F.col(s.name)), F.lit(0)).cast("long").alias(s.name) for s in specs))
     return sums.select(F.explode(F.array(*(F.struct(F.lit(s.name).alias("type"), F.col(s.name).alias("n")) for s in specs))).alias("x")).select("x.*")
 

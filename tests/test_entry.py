@@ -2,8 +2,10 @@
 
 import glob
 import os
+from numbers import Real
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -13,8 +15,12 @@ QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
 
 
 def canon(df):
-    df = df[sorted(df.columns)]
-    return sorted(tuple(repr(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) and x == x else "null" if x is None or x != x else str(x) for x in r) for r in df.itertuples(index=False))
+    def one(x):
+        if x is None or x is pd.NA or x != x:
+            return "null"
+        return repr(float(x)) if isinstance(x, Real) and not isinstance(x, bool) else str(x)
+
+    return sorted(tuple(map(one, r)) for r in df[sorted(df.columns)].itertuples(index=False))
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,7 +65,8 @@ def test_grams_against_python():
     rng = random.Random(3)
     for _ in range(60):
         words = [rng.choice("aa bbb c dd ee fff".split()) for _ in range(rng.randrange(0, 60))]
-        got = filters.gram_chars(words, (2, 3, 4), (5, 6))
+        number = {w: k * 7919 + 1 for k, w in enumerate(sorted(set(words)))}
+        got = filters.gram_chars(np.array([number[w] for w in words], np.int64), np.array([len(w) for w in words], np.int64), (2, 3, 4), (5, 6))
         assert got == [python_grams(words, n)[0] for n in (2, 3, 4)] + [python_grams(words, n)[1] for n in (5, 6)]
 
 
