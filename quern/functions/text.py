@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import glob
+import os
+import zipfile
+
+import pyspark
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -104,8 +110,16 @@ def repeats(a: Column) -> tuple[Column, Column]:
     return F.size(a) - F.size(d), total(lengths(a)) - total(lengths(d))
 
 
+@functools.cache
 def stop_words(lang: str) -> list[str]:
-    return sorted(set(StopWordsRemover.loadDefaultStopWords(LANGUAGES[lang])))
+    """Spark's own list, from the jar beside PySpark, or by the JVM where there is none."""
+    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
+    if jars:
+        with zipfile.ZipFile(jars[0]) as z:
+            words = z.read(f"org/apache/spark/ml/feature/stopwords/{LANGUAGES[lang]}.txt").decode().split("\n")
+    else:
+        words = StopWordsRemover.loadDefaultStopWords(LANGUAGES[lang])
+    return sorted({w.strip() for w in words} - {""})
 
 
 def by_language(lang: Column, choices: dict[str, Column], default: Column) -> Column:

@@ -112,12 +112,18 @@ class GopherQuality(Filter):
             T.ratio(F.size(F.filter(lines, lambda x: x.rlike(f"^[{T.WS}]*[•-]"))), F.size(lines)).alias("bullet_lines_ratio"),
             T.ratio(F.size(F.filter(lines, lambda x: x.rlike(f"([.][.][.]|…)[{T.WS}]*$"))), F.size(lines)).alias("ellipsis_lines_ratio"),
             T.ratio(F.size(F.filter(tok, lambda x: x.rlike(r"\p{L}"))) if self.tokenizer != "unicode" else T.n_matches(t, r"[\p{N}_]*\p{L}[\p{L}\p{N}_]*"), n).alias("alpha_words_ratio"),
-            self.n_stop(tok).alias("stop_words_count"),
+            self.n_stop().alias("stop_words_count"),
         )
 
-    def n_stop(self, tok: Column) -> Column:
-        """Occurrences of stop words. The language is looked up once a text, a word in a set."""
-        count = lambda ws: F.size(F.filter(tok, lambda x: x.isin(*ws))) if ws else F.when(tok.isNotNull(), 0)
+    def n_stop(self) -> Column:
+        """Occurrences of stop words among __tok. The language is looked up once a text, a word in a set."""
+
+        def count(ws: Sequence[str]) -> Column:
+            if not ws:
+                return F.when(F.col("__tok").isNotNull(), 0)
+            words = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in ws)
+            return F.expr(f"size(filter(__tok, x -> x IN ({words})))")
+
         lists, rest = self.stop_lists()
         return T.by_language(F.col(self.lang), {k: count(ws) for k, ws in lists.items()}, count(rest))
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks, evaluation, filters, formatters, ner, perplexity, pii, toxic
 from .pipeline import Pipeline
+from .queries import MODELS
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,8 +135,6 @@ CHAINS: dict[str, list[tuple[str, str]]] = {
     "everything_en": [("we saw Mary Jane Smith at 10.0.0.1", "we saw <person> at <ip_address>"), ("my ssn is 123-45-6789 and card 4111 1111 1111 1111", "my ssn is <us_social_security_number> and card <credit_card_number>"), ("by Acme Tools Ltd since 1990", "by <organisation> since 1990")],
 }
 
-MODELS = {"@person_organisation": ner.step(labels=("person", "organisation")), "@person": ner.step(labels=("person",)), "@organisation": ner.step(labels=("organisation",))}
-
 for _name, _pairs in CHAINS.items():
 
     def _chain(df: DataFrame, steps: Sequence[str] = pii.CHAINS[_name], lang: str = "en" if _name.endswith("en") else "nl") -> DataFrame:
