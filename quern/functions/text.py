@@ -30,21 +30,25 @@ LANGUAGES = {
 FALLBACK = "nl"
 
 
+#: The characters of WS.
+_SPACES = "".join(map(chr, [*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(c, F.lit(_SPACES))
 
 
 def lstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+", "")
+    return F.ltrim(c, F.lit(_SPACES))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+$", "")
+    return F.rtrim(c, F.lit(_SPACES))
 
 
 def split_lines(c: Column) -> Column:
-    """str.splitlines(): no empty last line, no line in an empty text."""
-    a = F.split(c, LINE_BREAK, -1)
+    """str.splitlines(): no empty last line, no line in an empty text. Few texts have other breaks than newlines."""
+    a = F.when(c.rlike(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), F.split(c, LINE_BREAK, -1)).otherwise(F.split(c, "\n", -1))
     return F.when(F.element_at(a, -1) == "", F.slice(a, 1, F.size(a) - 1)).otherwise(a)
 
 

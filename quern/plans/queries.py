@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunks, evaluation, filters, formatters, ner, perplexity, pii, toxic
 from ..operators.step import Filter
+from ..sources import tables
 from ..streaming import run as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,7 +36,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def docs(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return tables.spread(tables.parquet(spark, f"{sf}/{name}.parquet"))
 
 
 def r6(c: Column) -> Column:

@@ -16,6 +16,22 @@ def parquet(spark: SparkSession, path: str, glob: str | None = None) -> DataFram
     return (r.option("pathGlobFilter", glob) if glob else r).parquet(path)
 
 
+#: Bytes of a file for each core below which a scan is spread over all of them.
+SMALL = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table's scan over as many parts as there are cores; a larger one as it is.
+
+    A small file has one row group, and whatever follows would be one task's
+    work. What is moved is SMALL bytes a core at most; larger tables come in
+    many row groups and aren't moved.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if SMALL // 16 < size < SMALL * cores else df
+
+
 def documents(spark: SparkSession, rows: Iterable[tuple]) -> DataFrame:
     """An in-memory source of (id, text, url, language)."""
     return spark.createDataFrame(list(rows), DOCUMENT)
