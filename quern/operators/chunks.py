@@ -116,6 +116,44 @@ def affixes(model_name: str, src: str = "English", dst: str = "Dutch") -> tuple[
     raise ValueError(f"no prompt for model {model_name}")
 
 
+#: Kinds of translation engines, by a part of the model's name; others are sequence-to-sequence models.
+ENGINES = {"opus": "marian", "GemmaX2": "causal"}
+LOADERS: dict[str, Callable[[str], TextGenerator]] = {}
+
+
+def engine(model_name: str) -> str:
+    return next((kind for part, kind in ENGINES.items() if part in model_name), "seq2seq")
+
+
+def register_loader(kind: str, load: Callable[[str], TextGenerator]) -> None:
+    """How models of a kind are loaded: marian, causal, seq2seq, or batched for an engine that serves any of them."""
+    LOADERS[kind] = load
+
+
+def loader(model_name: str, batched_engine: bool = False) -> Callable[[], TextGenerator]:
+    """A factory for translate(): loads the model on the worker that runs it."""
+    kind = "batched" if batched_engine else engine(model_name)
+    if kind not in LOADERS:
+        raise ValueError(f"no loader for {kind} models")
+    load = LOADERS[kind]
+    return lambda: load(model_name)
+
+
+class Stripped:
+    """A causal model's output without the prompt that it repeats first."""
+
+    def __init__(self, model: TextGenerator) -> None:
+        self.model, self.name = model, model.name
+
+    def generate(self, prompts: Sequence[str], max_tokens: int, temperature: float) -> list[str]:
+        return [o.removeprefix(p).strip() for p, o in zip(prompts, self.model.generate(prompts, max_tokens, temperature))]
+
+
+def titled(df: DataFrame, title: str = "title", chunk_id: str = "chunk_id") -> DataFrame:
+    """Chunks with the title and the chunk's id as one, to name its row by."""
+    return df.withColumn("chunk_title", F.concat_ws("", F.col(title), F.col(chunk_id)))
+
+
 def translation_chunks(df: DataFrame, chunk_size: int = 1024, text: str = "text", id_col: str = "doc_id", mode: str = "characters", stop_at: int | None = None, batched_engine: bool = False, tokenizer: Callable[[], Tokenizer] | None = None) -> DataFrame:
     """A row for each chunk of chunk_size characters: row_splitter_id, row_splitter_pos, chunk_id "[start:end]", text.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import time
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Protocol
 
 import pandas as pd
@@ -44,6 +44,49 @@ class CapitalizedNames:
         return out
 
 
+#: Recognizers by name. Adapters of real models are added by register(); each loads its model once a worker.
+RECOGNIZERS: dict[str, Callable[[], EntityRecognizer]] = {"capitals": CapitalizedNames}
+
+
+def register(name: str, make: Callable[[], EntityRecognizer]) -> None:
+    RECOGNIZERS[name] = make
+
+
+def recognizer(name: str) -> Callable[[], EntityRecognizer]:
+    if name not in RECOGNIZERS:
+        raise ValueError(f"no recognizer {name}; there are {', '.join(sorted(RECOGNIZERS))}")
+    return RECOGNIZERS[name]
+
+
+class Adapter:
+    """A model as a recognizer: predict gives, for each text, (start, end, label, score) or tags of tokens to be merged.
+
+    names: the model's label for each of ours. Labels that nobody asked for and
+    scores below least are left out.
+    """
+
+    def __init__(self, predict: Callable[[Sequence[str], Sequence[str], str], Sequence[Sequence[Entity]]], languages: Sequence[str], max_chars: int = 5000, names: Mapping[str, str] | None = None, tags: bool = False, least: float = 0.0) -> None:
+        self.predict, self.languages, self.max_chars, self.tags, self.least = predict, languages, max_chars, tags, least
+        self.names = dict(names or {})
+
+    def recognize(self, texts: Sequence[str], labels: Sequence[str], language: str) -> list[list[Entity]]:
+        ours = {self.names.get(l, l): l for l in labels}
+        out = []
+        for t, found in zip(texts, self.predict(texts, list(ours), language)):
+            es = merge_tags(found) if self.tags else [dict(e) for e in found]
+            out.append([e | {"text": t[e["start"] : e["end"]], "label": ours[e["label"]]} for e in es if e["label"] in ours and e["score"] >= self.least])
+        return out
+
+
+def device() -> str:
+    """Where a worker's model goes: the GPU that Spark gave the task (spark.task.resource.gpu.amount), else the CPU."""
+    from pyspark import TaskContext
+
+    ctx = TaskContext.get()
+    gpus = ctx.resources().get("gpu") if ctx else None
+    return f"cuda:{gpus.addresses[0]}" if gpus and gpus.addresses else "cpu"
+
+
 def split_chunks(text: str, limit: int, mode: str = "words") -> list[str]:
     """Pieces of at most limit characters that join to the text: by characters, words or sentences. A longer word or sentence is a piece of its own."""
     if limit < 1:
@@ -225,6 +268,20 @@ def synthetic(kind: Column, key: Column, seed: Column, chance: float = 1.0) -> C
 GDPR = tuple("NAME NAME_GIVEN NAME_FAMILY EMAIL_ADDRESS PHONE_NUMBER LOCATION_ADDRESS LOCATION_CITY IP_ADDRESS DOB SSN PASSPORT_NUMBER DRIVER_LICENSE BANK_ACCOUNT CREDIT_CARD HEALTHCARE_NUMBER".split())
 
 
+#: All 23 kinds that a service is asked for at most.
+SELECTION = (*GDPR, *"AGE CREDIT_CARD_EXPIRATION CVV LOCATION_COORDINATE NUMERICAL_PII URL USERNAME VEHICLE_ID".split())
+#: The service's label for each of the catalogue's types and entities.
+SERVICE_LABELS: dict[str, str] = {
+    kind: label for label, kinds in {
+        "NAME": "Person", "ORGANISATION": "Organisation", "DOB": "Birthday", "LOCATION_ADDRESS_STREET": "Address", "EMAIL_ADDRESS": "EmailAddress", "IP_ADDRESS": "IPAddress", "URL": "FilePath URL", "NUMERICAL_PII": "MACAddress", "CVV": "CreditCardCVVCode",
+        "CREDIT_CARD": "CreditCardNumber", "CREDIT_CARD_EXPIRATION": "CreditCardExpiryDate", "PHONE_NUMBER": "BelgianPhoneNumber DutchPhoneNumber InternationalPhoneNumber", "VEHICLE_ID": "BelgianLicencePlateNumber DutchLicensePlateNumber",
+        "BANK_ACCOUNT": "AustralianBankAccountNumber CanadianBankAccountNumber EuropeanVATNumber IBAN USBankAccountNumber", "DRIVER_LICENSE": "AustralianDriversLicenseNumber DutchBelgianDriversLicenseNumber UKDriversLicenseNumber",
+        "PASSPORT_NUMBER": "AustralianPassportNumber BelgianPassportNumber CanadianPassportNumber DutchIdentityDocumentNumber UK_USPassportNumber",
+        "SSN": "AustralianTaxFileNumber BelgianIdentityNumber DutchIdentityNumberBSN DutchVreemdelingenDocumentNumber UKNationalInsuranceNumber UKUniqueTaxpayerReferenceNumber USIndividualTaxPayerIdentificationNumber USSocialSecurityNumber",
+    }.items() for kind in kinds.split()
+}
+
+
 class PiiClient(Protocol):
     """A service that finds entities: one call a chunk. endpoint: one of several, by partition."""
 

@@ -60,25 +60,27 @@ def passages(text: str, limit: int = 512, measure: Callable[[str], int] = lambda
 _RECORD = pa.struct([("label", pa.string()), ("score", pa.float64()), ("sentence", pa.string()), ("start_index", pa.int32())])
 
 
-def remove_toxic(df: DataFrame, make: Callable[[], PassageScorer], text: str = "text", lang: str = "lang", threshold: float = 0.0, max_chunk_length: int = 512, metadata: str = "toxic_language") -> DataFrame:
+def remove_toxic(df: DataFrame, make: Callable[[], PassageScorer], text: str = "text", lang: str = "lang", threshold: float = 0.0, max_chunk_length: int = 512, metadata: str = "toxic_language", measure: Callable[[], Callable[[str], int]] | None = None) -> DataFrame:
     """text without the chunks whose label isn't LABEL_0 and whose score is above threshold, the rest joined by spaces.
 
     metadata records what went: label, score, sentence, start_index (the sum of
     the lengths of the chunks before). Always written: where nothing went or
     the language isn't read, a placeholder of nulls stands. Such texts stay as
-    they are; so do null ones.
+    they are; so do null ones. Chunks are measured in words, or by what measure
+    makes once a worker: a count of the model's tokens.
     """
     kind = "array<struct<label:string,score:double,sentence:string,start_index:int>>"
     schema = df.withColumn(metadata, F.lit(None).cast(kind)).schema
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
+        size = measure() if measure else lambda t: len(t.split())
         for b in it:
             texts, langs, meta = b[text].to_pylist(), b[lang].to_pylist(), []
             for k, (t, l) in enumerate(zip(texts, langs)):
                 gone: list[dict] = []
                 if t and l in LABELS:
-                    chunks, rest, at = passages(t, max_chunk_length), [], 0
+                    chunks, rest, at = passages(t, max_chunk_length, size), [], 0
                     for c, (label, score) in zip(chunks, model.score(chunks, l)):
                         if label != "LABEL_0" and score > threshold:
                             gone.append({"label": LABELS[l].get(label, "Unknown"), "score": score, "sentence": c, "start_index": at})

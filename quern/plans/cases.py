@@ -308,6 +308,30 @@ class Pairs:
 
 labelled("translate_labelled_tokens", "doc_id int, text string", [(1, "abcdefg"), (2, ""), (3, None), (4, "x\ny")], lambda df: chunks.translation_chunks(df, 2, mode="tokens", tokenizer=Pairs).select("doc_id", "row_splitter_pos", "chunk_id", "text"), "doc_id int, row_splitter_pos int, chunk_id string, text string", [(1, 0, "[0:2]", "abcd"), (1, 1, "[2:4]", "efg"), (4, 0, "[0:2]", "x y")])
 
+class Repeats:
+    """A causal model: repeats the prompt, then goes on."""
+
+    name = "causal"
+
+    def generate(self, prompts: Sequence[str], max_tokens: int, temperature: float) -> list[str]:
+        return [f"{p} and so on" for p in prompts]
+
+
+labelled("translate_labelled_stripped", "k int, text string", [(1, "abc"), (2, "x y")], lambda df: chunks.generate(df, "{text}", lambda: chunks.Stripped(Repeats())), "k int, text string", [(1, "and so on"), (2, "and so on")])
+labelled("translate_labelled_engines", "k int, text string", [(1, "opus-mt-en-nl"), (2, "GemmaX2-28"), (3, "madlad400-10b")], _udf(chunks.engine), "k int, out string", [(1, "marian"), (2, "causal"), (3, "seq2seq")])
+labelled("translate_labelled_titles", "k int, title string, chunk_id string", [(1, "A page", "[0:4]"), (2, None, "[4:8]")], chunks.titled, "k int, chunk_title string", [(1, "A page[0:4]"), (2, "[4:8]")])
+labelled("toxic_labelled_measured", "k int, text string, lang string", [(1, "moron. Fine.", "en")], lambda df: toxic.remove_toxic(df, lambda: toxic.Lexicon(_LEX), max_chunk_length=7, measure=lambda: len), "k int, text string", [(1, "Fine.")])
+
+
+def _model(texts: Sequence[str], labels: Sequence[str], language: str) -> list[list[dict]]:
+    """Finds "Bo Li" as tagged tokens, with labels of its own."""
+    return [[{"start": t.find("Bo"), "end": t.find("Bo") + 2, "text": "Bo", "label": "B-PER", "score": 0.9}, {"start": t.find("Li"), "end": t.find("Li") + 2, "text": "Li", "label": "I-PER", "score": 0.8}] if "Bo Li" in t else [] for t in texts]
+
+
+labelled("ner_labelled_adapter", "k int, text string, lang string", [(1, "here is Bo Li now", "en"), (2, "nobody", "en")], lambda df: pii.run_chain(df, [ner.step(lambda: ner.Adapter(_model, ["en"], names={"person": "PER"}, tags=True), labels=["person"])]), "k int, text string", [(1, "here is <person> now"), (2, "nobody")])
+labelled("ner_labelled_registry", "k int, text string", [(1, "capitals")], lambda df: df.select("k", F.lit(ner.recognizer("capitals") is ner.CapitalizedNames).alias("ok"), F.udf(lambda _: ner.device(), "string")("text").alias("device")), "k int, ok boolean, device string", [(1, True, "cpu")])
+labelled("ner_labelled_service_labels", "k int", [(1,)], lambda df: df.select("k", F.lit(sum(n in ner.SERVICE_LABELS for n in pii.SPECS)).alias("n"), F.lit(ner.SERVICE_LABELS["IBAN"]).alias("iban"), F.lit(len(ner.SELECTION)).alias("kinds")), "k int, n int, iban string, kinds int", [(1, 34, "BANK_ACCOUNT", 23)])
+
 # --- filters --------------------------------------------------------------------------------------------------------
 
 _WORDS8 = "There are some words in this line here."

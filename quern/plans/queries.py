@@ -69,7 +69,14 @@ _COUNT = lambda c, s: f"((length({c}) - length(replace({c}, {s}, ''))) // length
 _R = lambda a, b: f"round(CASE WHEN {b} = 0 THEN NULL ELSE ({a})::DOUBLE / {b} END, 6)"
 _LEN = lambda a: f"coalesce(list_sum(list_transform({a}, lambda x: length(x))), 0)"
 _MED = lambda a: f"list_aggregate({a}, 'median')"
-_STOP_SQL = "CASE lang " + " ".join(f"WHEN '{k}' THEN [{', '.join(lit(w) for w in T.stop_words(k))}]" for k in T.LANGUAGES) + f" ELSE [{', '.join(lit(w) for w in T.stop_words(T.FALLBACK))}] END"
+_STOP_SQL = "<stop words of lang>"  # sql() puts them in
+
+
+def sql() -> dict[str, str]:
+    """SQL by query. Stop word lists are only read here, as workers that import this module may have no jar to read them from."""
+    listed = lambda k: "[" + ", ".join(lit(w) for w in T.stop_words(k)) + "]"
+    stop = "CASE lang " + " ".join(f"WHEN '{k}' THEN {listed(k)}" for k in T.LANGUAGES) + f" ELSE {listed(T.FALLBACK)} END"
+    return {name: text.replace(_STOP_SQL, stop) for name, text in SQL.items()}
 
 
 def _case(rules: list[tuple[str, str]]) -> str:
