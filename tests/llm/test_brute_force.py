@@ -610,22 +610,3 @@ def test_query(spark, name):
     qs = __spark_entry__.queries()
     (key,) = [k for k in qs if k.startswith(name)]
     assert qs[key](spark, SF).count() > 0
-
-
-def test_pipeline_decisions(spark):
-    import corpus_pipeline
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    text = {r["doc_id"]: r["text"] for r in docs.collect()}
-    now, kept = docs, {}
-    for name, stage in corpus_pipeline.STAGES[:4]:
-        rows = stage(spark, now, SF)
-        assert rows.columns == docs.columns
-        kept[name] = {r["doc_id"]: r["text"] for r in rows.collect()}
-        now = spark.createDataFrame(rows.collect(), docs.schema)
-    toxic = {r["doc_id"] for r in toxicity.classify(docs, toxicity.fit_on(docs, spark.read.parquet(f"{SF}/labels.parquet"))).where("toxic").collect()}
-    assert set(kept["toxicity"]) == set(text) - toxic
-    items = [decontam.normal(r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    flat = {d: f" {' '.join(decontam.normal(t))} " for d, t in kept["simhash_near_dedup"].items()}
-    runs = {f" {' '.join(w[i : i + 13])} " for w in items for i in range(max(1, len(w) - 12))}
-    assert set(kept["decontamination"]) == {d for d, t in flat.items() if not any(r in t for r in runs)}

@@ -71,11 +71,29 @@ def test_pages(spark):
     assert urlrules.apply_rules(none).count() == 0 and warcindex.indexed(none).count() == 0
 
 
+def test_licenses_of_odd_rows(spark):
+    mit = licenses.TEMPLATES["MIT/line"]
+    rows = [(1, mit), (1, mit), (None, mit), (2, f"{mit}\n{mit}"), (3, mit.upper()), (4, "word " * 60_000 + mit), (5, "license"), (6, None), (7, ""), (8, "software license " * 300)]
+    out = sorted((str(r["doc_id"]), r["license"], r["exact"]) for r in licenses.scanned(frame(spark, rows)).collect())
+    assert out == sorted((d, "MIT/line", True) for d in ("1", "1", "None", "2", "2", "3", "4"))
+    assert sorted(map(str, licenses.scanned(frame(spark, rows, True)).collect())) == sorted(map(str, licenses.scanned(frame(spark, rows)).collect()))
+    many = licenses.scanned(frame(spark, rows), {"a": mit, "b": mit, "c": ""}).where("doc_id = 1").collect()
+    assert {r["license"] for r in many} == {"a"}  # of equal templates the first
+
+
+def test_long_urls(spark):
+    long = "http://www.example.com/" + "a/" * 50_000 + "ads/x?page=9"
+    p = spark.createDataFrame([(1, long, "x"), (2**63 - 1, long, "y" * 100_000)], "page_id long, url string, html string")
+    assert [("ad-path" in r["rules"].split(","), "deep-page" in r["rules"].split(",")) for r in urlrules.apply_rules(p).collect()] == [(True, True)] * 2
+    assert sorted(len(r["url_key"]) for r in warcindex.indexed(p).collect()) == [len("com,example)/") - 1 + len(long) - len("http://www.example.com/") + 1] * 2
+
+
 def test_stages(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     rows = [(i, t, "en", "s", len(t or "")) for i, t in ROWS]
     spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(1, "never seen words stand in this one")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     for data in (rows, []):
         docs = spark.createDataFrame(data, schema)
         for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
