@@ -3,9 +3,11 @@
 Two zstandard dictionaries are trained on labelled text. The segments that
 enter a dictionary are runs of byte grams (of zstandard's minimum match
 length, inside words) whose document frequency in the one class is many times
-that in the other, most frequent last, where zstandard matches best; so the
-toxic dictionary shortens only what marks toxic text, and the ordinary one
-only what marks ordinary text. Every window of about 64 bytes is compressed
+that in the other, by more than the best of as many grams would have by
+chance, most frequent last, where zstandard matches best; so the toxic
+dictionary shortens only what marks toxic text, and the ordinary one only what
+marks ordinary text. zstandard's own trainer chooses what is frequent in a
+class, not what sets it apart: README has the figures. Every window of about 64 bytes is compressed
 with each. Its margin is ordinary minus toxic length; a document's score is
 the sum of its margins of at least two bytes by the root of its word count.
 The threshold is calibrated on held-out labelled documents: each half is
@@ -37,7 +39,6 @@ from pyspark.sql import functions as F
 from .common import batches, drop_settled, pick, settle, table
 
 GRAM = 5
-LONGER = (6, 7, 8)
 MIN_TOXIC = 4
 _BATCH = 16 << 20
 PRIMER = bytes([*range(0, 9), 11, 12, *range(14, 23)]) * 2
@@ -60,25 +61,12 @@ class Grams:
         self.words = [f" {w} ".encode("utf-8", "replace") for w in ids]
         self.hash = np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest()) for w in self.words], np.uint64)
         self.kept = self.thin()
-        # grams of GRAM bytes of each word, in order; then longer ones that begin and end with grams of several toxic texts
+        # grams of each word, in order
         self.ids: dict[bytes, int] = {}
         flat = [[self.ids.setdefault(w[k : k + GRAM], len(self.ids)) for k in range(len(w) - GRAM + 1)] for w in self.words]
-        self._index(flat)
-        often = self.frequency([d for d in self.kept if toxic[d]])
-        often = set(np.flatnonzero(often >= max(4, sum(toxic[d] for d in self.kept) // 100)).tolist())
-        for w, g in zip(self.words, flat):
-            base = list(g)
-            for n in LONGER:
-                for k in range(len(w) - n + 1):
-                    if base[k] in often and base[k + n - GRAM] in often:
-                        g.append(self.ids.setdefault(w[k : k + n], len(self.ids)))
-        self._index(flat)
-        self.names = list(self.ids)
-        self.size = np.array([len(g) for g in self.names])
-
-    def _index(self, flat: list[list[int]]) -> None:
         self.start = np.concatenate(([0], np.cumsum([len(g) for g in flat]))).astype(np.int64)
         self.flat = np.fromiter((x for g in flat for x in g), np.int64, int(self.start[-1]))
+        self.names = list(self.ids)
 
     def of(self, words: np.ndarray) -> np.ndarray:
         return np.unique(np.concatenate([self.flat[self.start[w] : self.start[w + 1]] for w in words.tolist()])) if len(words) else np.zeros(0, np.int64)
@@ -105,16 +93,18 @@ class Grams:
             kept.append(d)
         return kept
 
-    def segments(self, own: list[int], other: list[int], ratio: float, least: int, longer: bool) -> tuple[bytes, bytes]:
+    def segments(self, own: list[int], other: list[int], ratio: float, least: int) -> tuple[bytes, bytes]:
         """What marks own against other, rarest first: runs of marking grams.
 
-        And of the grams of zstandard's minimum match length in these runs
-        those that other has as well: in the other dictionary, they make up for
-        matches that mark nothing. Longer grams need more documents to count.
+        And of the grams in these runs those that other has as well: in the
+        other dictionary, they make up for matches that mark nothing.
         """
         a, b = self.frequency(own), self.frequency(other)
-        need = np.where(self.size == GRAM, least, max(2 * least, len(own) // 40) if longer else len(own) + 1)
-        marks = (a >= need) & (a > ratio * (b + 0.4) * len(own) / max(1, len(other)))
+        # Chernoff's bound of the chance that so many of a gram's texts are own ones, if it marked nothing, is below one in all grams
+        n, p = np.maximum(a + b, 1), len(own) / max(1, len(own) + len(other))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            chance = a * np.log(a / n / p) + np.where(b > 0, b * np.log(b / n / (1 - p)), 0.0)
+            marks = (a >= least) & (a > ratio * (b + 0.4) * len(own) / max(1, len(other))) & (chance > np.log((a > 0).sum()))
         has = np.zeros(len(self.words), bool)
         has[np.repeat(np.arange(len(self.words)), np.diff(self.start))[marks[self.flat]]] = True
         runs_of: dict[int, set[bytes]] = {}
@@ -199,8 +189,8 @@ def fit(texts: list[str], toxic: list[bool], ratio: float = 25.0, least: int = 3
         if not own:
             return Model(b"", b"", float("inf"), window)
         low = least if len(own) >= 40 else 2
-        marks, shared = grams.segments(own, other, ratio, low, True)
-        ordinary, also = grams.segments(other, own, ratio, max(low, len(other) // 50), False)
+        marks, shared = grams.segments(own, other, ratio, low)
+        ordinary, also = grams.segments(other, own, ratio, max(low, len(other) // 50))
         return Model(also + b"\n" + marks + b"\n" + PRIMER, ordinary + b"\n" + shared + b"\n" + PRIMER, 0.0, window)
 
     scored = []
