@@ -52,7 +52,7 @@ def test_values(spark):
     g = {r["doc_id"]: r for r in simhash.groups(df).collect()}
     assert all(r["keep"] for r in g.values()) and set(g) == {1, 3, 4, 5, 6, 7}
     p = packing.packed(df).collect()
-    assert sum(r["size"] for r in p if r["doc_id"] == 4) == len(LONG) and {r["doc_id"] for r in p} == {1, 4, 5, 6, 7} and len([r for r in p if r["doc_id"] == 1]) == 2
+    assert sum(r["size"] for r in p if r["doc_id"] == 4) == len(LONG) and {r["doc_id"] for r in p} == {None, 1, 4, 5, 6, 7} and len([r for r in p if r["doc_id"] == 1]) == 2
     f = {r["doc_id"]: r["fingerprint"] for r in minhash.fingerprinted(df).collect()}
     assert f[2] is None and f[3] is None and f[5] is None and len(f[4]) == 128
     d = {r["doc_id"]: r["text"] for r in linededup.dedup(df).collect()}
