@@ -115,7 +115,7 @@ def test_counts_of_all_types(spark, tmp_path):
 
     found = ["mail a.b@example.com", "iban NL91ABNA0417164300", "card 4111111111111111", "bsn 111222333", "ssn 123-45-6789", "see /home/someone/file.txt", "bel 06-12345678 of (020) 1234567", "rijbewijs 1234567890", "australia N1234567", "mac 00:1b:44:11:3a:22"]
     spark.createDataFrame(list(enumerate([*found, *found[:3], None])), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    for name in ("pages", "customer"):
+    for name in ("pages", "customer", "supplier"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(10).write.parquet(str(tmp_path / f"{name}.parquet"))
     n = {r["type"]: r["n"] for r in queries.QUERIES["pii_counts_all_types"](spark, str(tmp_path)).collect()}
     masks = {k.removeprefix("pii_mask_").replace("_", ""): f for k, f in queries.QUERIES.items() if k.startswith("pii_mask_")}
