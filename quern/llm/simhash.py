@@ -16,11 +16,13 @@ taken.
 The width grows with the logarithm of the number of signatures, so that a
 bucket has about BUCKET rows whatever the table's size, and the number of
 rings is the least for which a pair at TAU bits is found with probability
-RECALL at least: 5 rings up to 4 million signatures. Pairs at fewer bits are
-found more surely, those at fewer than 16 always (some segment of the first
-ring is equal while the width is 16). A complete search at TAU would take all
-values within two bits of each segment, some 2000 keys a signature, most of
-which lead nowhere; it isn't done.
+RECALL at least: 5 rings up to 4 million signatures.
+
+What the rings leave out is then searched for between the groups that they
+gave, completely: all pairs of blocks of BLOCK signatures are compared, by
+parts of which one differs in few bits only, all whose flips are looked up
+(parts(), across()). No link is lost; the work grows with the square of the
+number of signatures, at a few nanoseconds a pair or less.
 
 No bucket is cut off or sampled. In a bucket of more than LARGE rows one row
 after the other becomes a leader and takes the rows within TAU of it; only
@@ -34,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 from math import ceil, comb, log, prod
 
 import numpy as np
@@ -46,7 +49,7 @@ from .kernel import U64, distinct, mix, words
 
 BITS, SEGMENTS, TAU, CHAIN = 256, 16, 40, 4
 RECALL, BUCKET = 0.96, 64
-HOT, TASK_ROWS = 200_000, 250_000
+HOT, TASK_ROWS, BLOCK = 200_000, 250_000, 250_000
 _CHUNK, _BATCH = 1 << 20, 16 << 20
 
 
@@ -309,6 +312,138 @@ def edges(sigs: DataFrame, tau: int = TAU, recall: float = RECALL, bucket: int =
     return spread.mapInArrow(match, "a long, b long").distinct()
 
 
+def parts(m: int, tau: int) -> list[tuple[int, int, int]]:
+    """(first bit, bits, bound) of m parts of a signature; the bounds make tau + 1.
+
+    Two signatures at tau bits have, around the ring of parts, one from which on
+    the differences of the first l parts are fewer than their l bounds, for each
+    l: the differences less the bounds sum to -1 at most, and such a sequence has
+    a rotation all of whose beginnings sum to less than 0.
+    """
+    cut = lambda whole: [k * whole // m for k in range(m + 1)]
+    at, sums = cut(BITS), cut(tau + 1)
+    return [(at[k], at[k + 1] - at[k], sums[k + 1] - sums[k]) for k in range(m)]
+
+
+def flips(bits: int, most: int) -> np.ndarray:
+    """The numbers of so many bits of which most at most are set."""
+    return np.array([sum(1 << b for b in c) for k in range(most + 1) for c in combinations(range(bits), k)], np.int32)
+
+
+def cheapest(n: int, m: int, tau: int) -> int:
+    """The number of parts with which n signatures are compared soonest with m: that of fewest lookups and candidates."""
+
+    def cost(count: int) -> float:
+        return sum(sum(comb(w, e) for e in range(t)) * n * (1 + m / 2**w) + 2**w / 8 for _, w, t in parts(count, tau))
+
+    return min(range(11, 33), key=cost)
+
+
+def value(sig: np.ndarray, first: int, bits: int) -> np.ndarray:
+    """The number that these bits, up to 24 of them, make."""
+    at = first // 8
+    out = np.zeros(len(sig), np.uint64)
+    for k in range(at, at + 4):
+        out = out << U64(8) | (sig[:, k].astype(U64) if k < sig.shape[1] else U64(0))
+    return (out >> U64(32 - first % 8 - bits) & U64((1 << bits) - 1)).astype(np.int32)
+
+
+def across(x: np.ndarray, of_x: np.ndarray, y: np.ndarray | None, of_y: np.ndarray | None, tau: int = TAU, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b): links between the groups of_x of signatures x and the groups of_y of y, or of_x themselves if y is None, that connect whatever pairs at most tau bits apart connect.
+
+    Each part's values are looked up in a table with all flips of fewer bits
+    than its bound, the pairs found there are tested with the next part, then
+    whole. Pairs within one group are left out: where a group has more than few
+    rows before they are listed, so large groups cost no square.
+    """
+    same = y is None
+    if same:
+        y, of_y = x, of_x
+    names, at = np.unique(np.concatenate((of_x, of_y)), return_inverse=True)
+    gx, gy = at[: len(x)], at[len(x) :]
+    full_x, full_y = (np.ascontiguousarray(s).view(U64) for s in (x, y))
+    found: list[np.ndarray] = []
+    ring = parts(cheapest(len(x), len(y), tau), tau) if len(x) and len(y) else []
+    for k, (first, bits, bound) in enumerate(ring):
+        if bound < 1:
+            continue
+        first2, bits2, bound2 = ring[(k + 1) % len(ring)]
+        many = (np.bincount(gy, minlength=len(names)) > few)[gx]
+        vx, vy = value(x, first, bits), value(y, first, bits)
+        order = np.lexsort((gy, vy)).astype(np.int32)
+        start = np.zeros((1 << bits) + 1, np.int32)
+        np.cumsum(np.bincount(vy, minlength=1 << bits), out=start[1:])
+        place = np.empty(len(y), np.int32)
+        place[order] = np.arange(len(y), dtype=np.int32)
+        next_x, next_y = value(x, first2, bits2), value(y, first2, bits2)[order]
+        grouped_ = vy[order].astype(np.int64) << 32 | gy[order] if many.any() else None
+        new: list[np.ndarray] = []
+        for f, ones in zip((all_ := flips(bits, bound - 1)).tolist(), np.bitwise_count(all_).tolist()):
+            v = vx ^ np.int32(f)
+            # of two rows of one table, the one with the smaller value looks for the other
+            rows = np.flatnonzero(v > vx) if same and f else np.arange(len(x))
+            lo, hi = place[rows] + 1 if same and not f else start[v[rows]], start[v[rows] + 1]
+            big = many[rows]
+            if big.any():
+                own = v[rows[big]].astype(np.int64) << 32 | gx[rows[big]]
+                before, after = np.searchsorted(grouped_, own), np.searchsorted(grouped_, own, "right")
+                rows = np.concatenate((rows[~big], rows[big], rows[big]))
+                lo, hi = np.concatenate((lo[~big], lo[big], np.maximum(lo[big], after))), np.concatenate((hi[~big], np.minimum(hi[big], before), hi[big]))
+            some = hi > lo
+            rows, lo, n = rows[some], lo[some].astype(np.int64), (hi[some] - lo[some]).astype(np.int64)
+            ends = np.cumsum(n)
+            s = 0
+            while s < len(rows):
+                base = ends[s] - n[s]
+                e = max(s + 1, int(np.searchsorted(ends, base + (1 << 20), "right")))
+                j = np.arange(ends[e - 1] - base) + np.repeat(lo[s:e] - (ends[s:e] - n[s:e] - base), n[s:e])
+                hit = np.flatnonzero(np.bitwise_count(np.repeat(next_x[rows[s:e]], n[s:e]) ^ next_y[j]) < bound + bound2 - ones)
+                i, j = rows[s + np.searchsorted(ends[s:e] - base, hit, "right")], order[j[hit]]
+                other = gx[i] != gy[j]
+                i, j = i[other], j[other]
+                near_ = np.bitwise_count(full_x[i] ^ full_y[j]).sum(1, dtype=np.int64) <= tau
+                if near_.any():
+                    new.append(np.unique(np.stack((gx[i[near_]], gy[j[near_]]), 1), axis=0))
+                s = e
+        if new:
+            pairs = np.concatenate(new)
+            found.append(pairs)
+            a, b = forest(pairs[:, 0], pairs[:, 1])
+            to = np.arange(len(names))
+            to[a] = b
+            gx, gy = to[gx], to[gy]
+    if not found:
+        return names[:0], names[:0]
+    pairs = np.concatenate(found)
+    return forest(names[pairs[:, 0]], names[pairs[:, 1]])
+
+
+def left_out(sigs: DataFrame, root: DataFrame, tau: int = TAU, block: int = BLOCK) -> DataFrame:
+    """(a, b), b < a: links between the groups of root (id, root) that near-duplicate rows of (doc_id, sig) make, all that there are.
+
+    The table is divided into blocks, and each pair of blocks is a task's.
+    """
+    n = sigs.count()
+    blocks = max(1, min(12, n // 4096), -(-n // block))
+    own = F.pmod(F.xxhash64("sig"), F.lit(blocks))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")), lambda o: F.least(o, own) * F.lit(blocks) + F.greatest(o, own))
+    rows = sigs.join(root, F.col("doc_id") == F.col("id"), "left").select("sig", F.coalesce("root", "doc_id").alias("of"), own.alias("own"), F.explode(pairs).alias("tile"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(stacked(b["sig"]), *(b[c].to_numpy() for c in ("of", "own", "tile"))) for b in it if b.num_rows]
+        if not got:
+            return
+        sig, of, own_, tile = (np.concatenate(c) for c in zip(*got))
+        del got
+        for t in np.unique(tile).tolist():
+            p, q = divmod(t, blocks)
+            x, y = (np.flatnonzero((tile == t) & (own_ == o)) for o in (p, q))
+            a, b = across(sig[x], of[x], *((None, None) if p == q else (sig[y], of[y])), tau)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return rows.repartition(blocks * (blocks + 1) // 2, "tile").mapInArrow(run, "a long, b long").distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root): of each id that has a smaller one in its component, the smallest. Alternating large and small stars."""
     e = settle(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -347,6 +482,11 @@ def grouped(sigs: DataFrame, tau: int = TAU) -> DataFrame:
     one = settle(sigs.groupBy("sig").agg(F.min("doc_id").alias("doc_id")))
     links = edges(one, tau).union(sigs.join(one.select("sig", F.col("doc_id").alias("b")), "sig").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b"))
     root = components(links)
+    more = settle(left_out(one, root, tau))
+    if more.head(1):
+        was, root = root, components(root.toDF("a", "b").union(more))
+        drop_settled(was)
+    drop_settled(more)
     drop_settled(one)
     return sigs.select("doc_id").distinct().join(root, F.col("doc_id") == F.col("id"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce(F.col("root") == F.col("doc_id"), F.lit(True)).alias("keep"))
 

@@ -431,6 +431,52 @@ def test_simhash_large_and_hot_buckets(spark):
     assert plain == tiled == set(roots(all_near(sig)).items())
 
 
+
+def at_distance(rng, n, d):
+    """n signatures, and n that differ from them in d bits each."""
+    sig = rng.integers(0, 256, (n, 32), dtype=np.uint8)
+    flip = np.zeros((n, 256), np.uint8)
+    for row in flip:
+        row[rng.permutation(256)[:d]] = 1
+    return np.concatenate((sig, sig ^ np.packbits(flip, axis=1)))
+
+
+def test_simhash_loses_no_link(spark, monkeypatch):
+    """Pairs at just TAU bits, of which the rings leave some out, and none at one more; in one block and in several."""
+    rng = np.random.default_rng(40)
+    sig = np.concatenate((at_distance(rng, 1000, simhash.TAU), at_distance(rng, 300, simhash.TAU + 1)))
+    df = spark.createDataFrame([(k, bytes(s)) for k, s in enumerate(sig)], "doc_id long, sig binary").repartition(3)
+    want = [*range(1000), *range(1000), *range(2000, 2600)]
+    assert len(found_near(sig, 4096)) < 1000
+    whole = simhash.left_out
+    for block in (simhash.BLOCK, 600):
+        monkeypatch.setattr(simhash, "left_out", lambda sigs, root, tau, block=block: whole(sigs, root, tau, block))
+        assert [r["group_id"] for r in simhash.grouped(df).orderBy("doc_id").collect()] == want
+
+
+@pytest.mark.parametrize("n, tau, few", [(900, 40, 64), (900, 40, 2), (600, 60, 64), (500, 5, 2), (200, 0, 64), (1, 40, 64), (0, 40, 64)])
+def test_simhash_across(n, tau, few):
+    """All pairs, with uneven bits and rows that are in groups already; within a table and between two."""
+    rng = np.random.default_rng(n + tau)
+    bits = (rng.random((n, 256)) < rng.random(256) * 0.6 + 0.2).astype(np.uint8)
+    for k in range(n // 2):
+        bits[n // 2 + k] = bits[k]
+        bits[n // 2 + k][rng.permutation(256)[: rng.integers(max(0, tau - 3), tau + 4)]] ^= 1
+    sig, ids = np.packbits(bits, axis=1), rng.permutation(n) + 1000
+    of = ids.copy()
+    of[: n // 5] = min(ids[: n // 5], default=0)
+    i, j = (np.array(c, np.int64) for c in zip(*(all_near(sig, tau) or {(0, 0)})))
+
+    def roots(*pairs):
+        a, b = simhash.forest(*(np.concatenate([p[k] for p in pairs]) for k in (0, 1)))
+        return dict(zip(a.tolist(), b.tolist()))
+
+    want = roots((of, ids), (ids[i], ids[j])) if n else {}
+    h = n // 3
+    assert roots((of, ids), simhash.across(sig, of, None, None, tau, few)) == want
+    assert roots((of, ids), simhash.across(sig[:h], of[:h], sig[h:], of[h:], tau, few), *(simhash.across(sig[s], of[s], None, None, tau, few) for s in (slice(h), slice(h, None)))) == want
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
