@@ -108,7 +108,7 @@ def ring_bits(rings: int) -> np.ndarray:
 def laid_out(sig: np.ndarray, rings: int) -> np.ndarray:
     """The segments of each signature's rings as 16-bit numbers: rows, rings * SEGMENTS."""
     bits = np.unpackbits(sig, axis=1)
-    return np.packbits(bits[:, ring_bits(rings)], axis=2).reshape(len(sig), -1).view(">u2").astype(np.uint16)
+    return np.ascontiguousarray(np.packbits(bits[:, ring_bits(rings)], axis=2).reshape(len(sig), -1)).view(">u2").astype(np.uint16)
 
 
 def keys(seg: np.ndarray, rings: int, width: int) -> np.ndarray:

@@ -111,6 +111,14 @@ def test_simhash(spark, steps, corpus):
     assert not {k for k in range(240, 265)} & {r[0] for r in after}  # no copy is left, exact or near
 
 
+
+def test_simhash_without_luck(spark, steps, corpus, monkeypatch):
+    """The stage loses no link when its rings find hardly any pair."""
+    before, after = steps["simhash_near_dedup"]
+    monkeypatch.setattr(simhash, "layout", lambda *_: (48, 1))
+    assert rows_of(simhash.stage(spark, spark.createDataFrame(before, SCHEMA), corpus[0])) == after
+
+
 def test_decontamination(steps, corpus):
     before, after = steps["decontamination"]
     words = [decontam.normal(t) for _, t in corpus[1]]
