@@ -49,7 +49,7 @@ from .kernel import U64, distinct, mix, words
 
 BITS, SEGMENTS, TAU, CHAIN = 256, 16, 40, 4
 RECALL, BUCKET = 0.96, 64
-HOT, TASK_ROWS, BLOCK = 200_000, 250_000, 250_000
+HOT, TASK_ROWS, BLOCK, COUNTED = 200_000, 250_000, 250_000, 1 << 17
 _CHUNK, _BATCH = 1 << 20, 16 << 20
 
 
@@ -227,26 +227,38 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[other], ids[root[other]]
 
 
-def hot_keys(sigs: DataFrame, n: int, width: int, rings: int, hot: int) -> DataFrame:
-    """(key, tiles): keys that may have more than hot rows. A part of the table reports a key only from hot / parts rows on; the rest counts as that many."""
-    parts = sigs.rdd.getNumPartitions()
-    least = hot // parts
+def hot_keys(sigs: DataFrame, n: int, width: int, rings: int, hot: int, rows: int = COUNTED) -> DataFrame:
+    """(key, tiles): keys that may have more than hot rows. A piece of the table, rows rows at most, reports a key only from hot / pieces rows on; the rest counts as that many. One window's keys are counted at a time, so memory is bounded by rows."""
+    pieces = sigs.rdd.getNumPartitions() + n // rows
+    least = hot // pieces
+
+    def frequent(sig: np.ndarray) -> pa.RecordBatch:
+        seg = np.concatenate([laid_out(sig[s : s + 4096], rings) for s in range(0, len(sig), 4096)]).reshape(len(sig), rings, SEGMENTS)
+        k, c = [], []
+        for r in range(rings):
+            for w in range(SEGMENTS):
+                value = seg[:, r, w].astype(U64) << U64(32) | seg[:, r, (w + 1) % SEGMENTS].astype(U64) << U64(16) | seg[:, r, (w + 2) % SEGMENTS]
+                one, many = np.unique(value >> U64(48 - width) | U64(r * SEGMENTS + w) << U64(48), return_counts=True)
+                k.append(one[many > least])
+                c.append(many[many > least])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(k).view(np.int64)), pa.array(np.concatenate(c))], ["hot_key", "n"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        total, k, c = 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for b in [*it, None]:
-            if b is not None and b.num_rows:
-                held.append(keys(laid_out(stacked(b["sig"]), rings), rings, width).ravel())
-                total += held[-1].size
-            if held and (b is None or total > 1 << 23):
-                k2, c2 = np.unique(np.concatenate(held), return_counts=True)
-                k, at = np.unique(np.concatenate((k, k2)), return_inverse=True)
-                c = np.bincount(at, np.concatenate((c, c2)), len(k)).astype(np.int64)
-                held, total = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(k[c > least]), pa.array(c[c > least])], ["hot_key", "n"])
-
-    seen = sigs.select("sig").mapInArrow(count, "hot_key long, n long").groupBy("hot_key").agg((F.sum("n") + F.lit(least) * (F.lit(parts) - F.count(F.lit(1)))).alias("n"))
+        total = 0
+        for b in it:
+            sig = stacked(b["sig"])
+            while len(sig):
+                part, sig = sig[: rows - total], sig[rows - total :]
+                held.append(part)
+                total += len(part)
+                if total == rows:
+                    yield frequent(np.concatenate(held))
+                    held, total = [], 0
+        if total:
+            yield frequent(np.concatenate(held))
+
+    seen = sigs.select("sig").mapInArrow(count, "hot_key long, n long").groupBy("hot_key").agg((F.sum("n") + F.lit(least) * (F.lit(pieces) - F.count(F.lit(1)))).alias("n"))
     return seen.where(F.col("n") > hot).select("hot_key", F.ceil(F.col("n") / hot).cast("int").alias("tiles"))
 
 

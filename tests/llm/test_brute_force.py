@@ -477,6 +477,19 @@ def test_simhash_across(n, tau, few):
     assert roots((of, ids), simhash.across(sig[:h], of[:h], sig[h:], of[h:], tau, few), *(simhash.across(sig[s], of[s], None, None, tau, few) for s in (slice(h), slice(h, None)))) == want
 
 
+
+def test_simhash_hot_keys_by_pieces(spark):
+    """No key with more rows is missed, however small the pieces."""
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 256, (3000, 32), dtype=np.uint8)
+    sig[:1200, 4:8], sig[500:, 10:12] = 7, 9
+    df = spark.createDataFrame([(k, bytes(s)) for k, s in enumerate(sig)], "doc_id long, sig binary").repartition(2)
+    key, c = np.unique(simhash.keys(simhash.laid_out(sig, 2), 2, 16), return_counts=True)
+    for rows in (100, 1 << 17):
+        got = {r["hot_key"]: r["tiles"] for r in simhash.hot_keys(df, 3000, 16, 2, 1000, rows).collect()}
+        assert set(key[c > 1000].tolist()) <= set(got) and all(got[k] * 1000 >= n for k, n in zip(key.tolist(), c.tolist()) if n > 1000)
+
+
 def test_components(spark):
     rng = random.Random(9)
     links = [(rng.randrange(80), rng.randrange(80)) for _ in range(60)] + [(k, k + 1) for k in range(100, 160)]
