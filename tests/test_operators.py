@@ -95,6 +95,29 @@ def test_catalogue(spark):
         assert [r[0]["text"] for r in df.select(pii.mask_text(F.col("t"), spec)).collect()] == [mask(t)[0] for t in texts], spec.name
 
 
+def test_borders_beside_letters_of_any_script(spark):
+    """Borders, spaces and case as in SQL: only ASCII counts as a word, the vertical tab isn't a space."""
+    import duckdb
+
+    from quern.functions.text import as_re2
+
+    texts = ["Álvaro éEL y EL", "ÉELé EL\u0301", "éDE123456789é", "à123456789ß 123456789", "x\u0301EL", "d’EL", "912\x0b70\x0b1234 912\t70\t1234", "é/a/b/c", "a/b/c.é", "\u212aK:a1b \u017f.ab/cd", "wwé.a www.é/x", "éAB-12-CDé", "0é412345678 0412345678é", "éab123456", "_EL EL_"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    con = duckdb.connect()
+    for spec in pii.SPECS.values():
+        if "(?<" in spec.pattern or "(?!" in spec.pattern:
+            continue
+        want = con.execute(f"SELECT regexp_extract_all(t, '{spec.pattern.replace(chr(39), chr(39) * 2)}') FROM (SELECT unnest(?) AS t)", [texts]).fetchall()
+        got = df.orderBy("i").select(F.regexp_extract_all("t", F.lit(spec.native), F.lit(0)).alias("h")).collect()
+        assert [r["h"] for r in got] == [w[0] for w in want], spec.name
+        if not spec.validator and not spec.keywords:
+            n = df.orderBy("i").select(pii.count_matches(F.col("t"), spec).alias("n"), pii.mask_text(F.col("t"), spec)["count"].alias("m")).collect()
+            assert [(r["n"], r["m"]) for r in n] == [(len(w[0]),) * 2 for w in want], spec.name
+    for p in (r"\b-\b", r"a?\bé", r"(?:\bEL|x)\b", r"(?:[a-z]|-)\b", r"\b(?:é|a)"):
+        want = con.execute(f"SELECT regexp_replace(t, '{p}', '<>', 'g') FROM (SELECT unnest(?) AS t)", [texts]).fetchall()
+        assert [r[0] for r in df.orderBy("i").select(F.regexp_replace("t", as_re2(p), "<>")).collect()] == [w[0] for w in want], p
+
+
 def test_windows_masks_and_chains(spark):
     spec = pii.Spec("x", r"\b[0-9]{3}\b", ["<a>", "<b>"], None, ("key",), 14)
     text = "key 123 and 456 ........................ 789"
