@@ -1,6 +1,7 @@
 """Formatters, masking, entities, passages, chunks, scores."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -118,6 +119,31 @@ def test_borders_beside_letters_of_any_script(spark):
         assert [r[0] for r in df.orderBy("i").select(F.regexp_replace("t", as_re2(p), "<>")).collect()] == [w[0] for w in want], p
 
 
+@pytest.mark.parametrize("name", ["pii_mask_ip_address", "pii_mask_mac_address", "pii_mask_dutch_license_plate_number"])
+def test_masks_are_computed_once_after_the_texts_are_spread(spark, name):
+    from quern.plans import queries
+
+    lines = queries.QUERIES[name](spark, "/root/testdata/sf0.1")._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    moved = [k for k, x in enumerate(lines) if "Repartition" in x]
+    assert moved
+    for k in moved:
+        below = next((j for j in range(k + 1, len(lines)) if depth[j] <= depth[k]), len(lines))
+        assert not any("RLIKE" in x for x in lines[k:below])
+    assert sum("regexp_replace" in x for x in lines) == 1
+
+
+def test_names_before_at_are_looked_for_once(spark):
+    """A long run of what names are made of costs no square."""
+    run = "word and more " * 8000
+    text = run + "@ a.b@example.com x@y" + " @example.com" * 3
+    began = time.monotonic()
+    r = spark.createDataFrame([(text,)], "t string").select(pii.mask_text(F.col("t"), pii.SPECS["EmailAddress"]).alias("m")).first()["m"]
+    assert time.monotonic() - began < 15
+    m = "<e-mail_address>"
+    assert r["text"] == f"{run}@{m} x@{m}{m}{m}" and r["count"] == 4
+
+
 def test_windows_masks_and_chains(spark):
     spec = pii.Spec("x", r"\b[0-9]{3}\b", ["<a>", "<b>"], None, ("key",), 14)
     text = "key 123 and 456 ........................ 789"
