@@ -3,6 +3,7 @@
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,16 @@ def test_masks_are_computed_once_after_the_texts_are_spread(spark, name):
     assert sum("regexp_replace" in x for x in lines) == 1
 
 
+def test_texts_are_tested_for_digits_and_words_once(spark):
+    from quern.functions.text import needs_digit
+    from quern.plans import queries
+
+    assert {s.name for s in pii.SPECS.values() if not needs_digit(s.pattern)} == {"EmailAddress", "IPAddress", "URL", "MACAddress", "FilePath", "EuropeanVATNumber"}
+    assert not any(map(needs_digit, (r"a[0-9]*", r"[0-9]|a", r"[0-9a]", r"(?![0-9])a", r"(?:x|[0-9])y")))
+    plan = queries.QUERIES["pii_counts_all_types"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("lower(text#") <= 4
+
+
 def test_names_before_at_are_looked_for_once(spark):
     """A long run of what names are made of costs no square."""
     run = "word and more " * 8000
@@ -287,3 +298,35 @@ def test_sources(spark, tmp_path):
     assert tables.parquet(spark, str(tmp_path / "x")).count() == 1
     tables.write_metrics(df, str(tmp_path / "m"))
     assert tables.fixtures(spark, str(tmp_path / "m")).first()["text"] == "t"
+
+
+@pytest.mark.parametrize("most", [0, 1, 5, 1000])
+def test_perplexity_whatever_is_broadcast(spark, most):
+    """The same, however many words are frequent; repeated and null ids, null and empty texts; rare words alone move."""
+    import math
+    from collections import Counter
+
+    rows = [(1, "a b a c", "en"), (1, "a d", "en"), (2, "A b b", "nl"), (3, "", "en"), (4, None, "en"), (5, "x y", None), (None, "a z", "en"), (None, "b", "en"), (6, "b" * 200 + " b", "nl")]
+    of = [(i, l, w) for i, t, l in rows if l for w in (t or "").lower().split()]
+    c, total = Counter((l, w) for _, l, w in of), Counter(l for _, l, _ in of)
+    kinds = Counter(l for l, _ in c)
+    want = {}
+    for i, l in {(i, l) for i, l, _ in of}:
+        ws = [w for j, m, w in of if (j, m) == (i, l)]
+        want[i, l] = math.exp(-sum(math.log((c[l, w] + 1) / (total[l] + kinds[l])) for w in ws) / len(ws))
+    got = {(r["doc_id"], r["lang"]): r["perplexity"] for r in perplexity.unigram_perplexity(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=most).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_steps_take_large_batches_in_parts(spark):
+    from quern.functions import arrow
+
+    long = pa.record_batch({"t": ["x" * 1000] * 100})
+    assert [b.num_rows for b in arrow.parts([long], 30_000)] == [25] * 4 and [len(a) for a in arrow.parts([long["t"], long["t"][:0]], 1)] == [1] * 100
+    assert pa.concat_arrays([b["t"] for b in arrow.parts([long], 30_000)]) == long["t"]
+    text = "Jan de Vries was here. " * 200
+    df = spark.createDataFrame([(k, text, "nl") for k in range(1000)], "doc_id int, text string, lang string").coalesce(1)
+    out = pii.run_chain(df, [ner.step(labels=("person",))]).select("text").distinct().collect()
+    assert [r["text"] for r in out] == [text.replace("Jan de Vries", "<person>")]
+    out = df.select(formatters.unicode_fix(F.concat("text", F.lit(" schÃ¶n"))).alias("t")).distinct().collect()
+    assert [r["t"] for r in out] == [text + " schön"]
